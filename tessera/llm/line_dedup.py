@@ -32,7 +32,7 @@ def windows(docs: DataFrame) -> DataFrame:
     n = F.size("_lines")
     digest = lambda k: F.unhex(F.md5(F.array_join(F.slice("_lines", k + 1, WINDOW), "\n").cast("binary")))
     cut = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), lines.alias("_lines")).where(n >= WINDOW)
-    cut = cut.select("_d", "_t", F.transform(F.sequence(F.lit(0), n - WINDOW), digest).alias("_hs"))
+    cut = cut.select("_d", "_t", F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), digest).alias("_hs"))
     return cut.select("_d", "_t", F.posexplode("_hs").alias("_at", "_h"))
 
 
