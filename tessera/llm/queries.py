@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import fiftieths
 from .bpe_codec import bpe_codes
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .language_id import language_id
@@ -24,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fiftieths(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -54,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_line_dedup, op4_language_id, op5_token_counts, op6_simhash, op7_bpe_codec, op8_exact_dedup, op9_quality, op10_mixing)
+    for f in (op1_license_scan, op2_line_dedup, op3_ann, op4_language_id, op5_token_counts, op6_simhash, op7_bpe_codec, op8_exact_dedup, op9_quality, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {

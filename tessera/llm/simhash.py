@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -206,14 +206,16 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that stay: of each component the row with the smallest doc_id.
+    """The rows of docs, all columns as they are, that stay: of each component the document with the smallest doc_id.
 
-    Of rows equal in that doc_id one stays, by a hash of its text; rows without a doc_id
+    A doc_id goes if any row of it is in a component with a smaller one; of several rows
+    of a doc_id that stays, the first by a hash of the text does.  Rows without a doc_id
     have no place in that order and stay.
     """
     found = simhash_components(docs)
     gone = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    own = docs.toDF(*names)
-    key = names[docs.columns.index("doc_id")]
-    return own.join(gone, own[key].cast("long") == gone["_gone"], "left_anti").toDF(*docs.columns)
+    own = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(names[docs.columns.index("text")])))
+    stay = own.where("_id is not null").join(gone, F.col("_id") == F.col("_gone"), "left_anti").withColumn("_k", first).where("_k = 1").drop("_k")
+    return stay.unionByName(own.where("_id is null")).drop("_id").toDF(*docs.columns)
