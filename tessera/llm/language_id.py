@@ -117,7 +117,7 @@ def scores(texts: list[str], model: LanguageModel, bits: int) -> tuple[list[str]
 
 
 def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS) -> DataFrame:
-    """All columns of docs, and lang_pred and score, from the column text alone; no shuffle."""
+    """Columns _0, _1 and so on as those of docs, and _lang and _score, from the column text alone; no shuffle."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -134,8 +134,7 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score)], [*names, "_lang", "_score"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    done = docs.toDF(*names).mapInArrow(run, f"{schema}, _lang string, _score double")
-    return done.toDF(*docs.columns, "lang_pred", "score")
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, _lang string, _score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"], docs["lang"].cast("string"))
     model = learn(docs, ~held_out(F.col("doc_id")))
     found = predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("_0").alias("doc_id"), held_out(F.col("_0")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -155,6 +154,5 @@ def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = learn(own, ~held_out(F.col("doc_id")))
     if not model.languages:
         return docs.limit(0)
-    found = predict(docs, model)
-    kept = found.toDF(*docs.columns, "_lang", "_score").where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
-    return kept.select(*docs.columns)
+    kept = predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
+    return kept.drop("_lang", "_score").toDF(*docs.columns)

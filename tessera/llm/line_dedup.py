@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, skew_safe_join, written
+from .shared import skew_safe_join, written
 
 #: Lines in a window.
 WINDOW = 3
@@ -50,26 +50,26 @@ def covered(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of docs, the text without its covered lines, and _lines and _gone: lines before, and removed positions."""
+    """Columns _c0, _c1 and so on as those of docs, the text without its covered lines, and _lines and _gone: lines before, and removed positions."""
     kept = [f"_c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*kept).withColumns({"_d": F.col(kept[docs.columns.index("doc_id")]), "_text": F.col(kept[docs.columns.index("text")])})
-    rows = rows.withColumn("_t", F.xxhash64("_text"))
+    text = kept[docs.columns.index("text")]
+    rows = docs.toDF(*kept).withColumns({"_d": F.col(kept[docs.columns.index("doc_id")]), "_t": F.xxhash64(text)})
     gone = covered(docs.select("doc_id", "text").where(F.col("text").isNotNull())).withColumnsRenamed({"_d": "_d2", "_t": "_t2"})
     both = rows.join(gone, rows["_d"].eqNullSafe(gone["_d2"]) & (rows["_t"] == gone["_t2"]), "left")
-    lines = F.split("_text", "\n", -1)
-    text = F.array_join(F.filter(lines, lambda s, k: ~F.array_contains("_gone", k)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(text)
-    columns = [text if name == "text" else F.col(c) for c, name in zip(kept, docs.columns, strict=True)]
-    size = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines))
-    return both.select(*[c.alias(n) for c, n in zip(columns, docs.columns, strict=True)], size.alias("_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
+    lines = F.split(text, "\n", -1)
+    left = F.array_join(F.filter(lines, lambda s, k: ~F.array_contains("_gone", k)), "\n")
+    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
+    size = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    columns = [left.alias(c) if c == text else F.col(c) for c in kept]
+    return both.select(*columns, size.alias("_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions, joined by commas) and text_md5 (of what stays) of every row."""
     found = without_repeats(docs.select(docs["doc_id"].cast("long"), docs["text"]))
     return found.select(
-        "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
-        F.array_join(F.col("_gone").cast("array<string>"), ",").alias("removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.col("_c0").alias("doc_id"), F.col("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
+        F.array_join(F.col("_gone").cast("array<string>"), ",").alias("removed"), F.md5(F.col("_c1").cast("binary")).alias("text_md5"),
     )
 
 
@@ -78,8 +78,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs)
     found = found.where((F.size("_gone") == 0) | (F.size("_gone") < F.col("_lines")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_gone") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+        text, size = (f"_c{docs.columns.index(c)}" for c in ("text", "n_chars"))
+        found = found.withColumn(size, F.when(F.size("_gone") > 0, F.char_length(text).cast("long")).otherwise(F.col(size)))
+    return found.drop("_lines", "_gone").toDF(*docs.columns)
 
 
 #: DuckDB SQL for line_dedup().

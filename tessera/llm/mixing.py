@@ -33,11 +33,11 @@ BUCKET_ROWS = 20_000
 
 
 def sized(docs: DataFrame, carry: list[str], buckets: int) -> DataFrame:
-    """Carried columns, and _source (a key that sorts null last), _size, _order and _bucket."""
+    """Carried columns as _c0, _c1 and so on, and _source (a key that sorts null last), _size, _order and _bucket."""
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     source = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    columns = [F.col(f"`{c}`") for c in carry]
+    columns = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)]
     found = docs.select(*columns, source.alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), order.alias("_order"))
     return found.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
 
@@ -88,7 +88,7 @@ def bin_of(time):
 
 
 def mix(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Every row: carried columns, _size, source_size, target, and _times: how often the mix takes it."""
+    """Every row: carried columns as _c0, _c1 and so on, _size, source_size, target, and _times: how often the mix takes it."""
     rows = placed(docs, carry, docs.count())
     offers = rows.select("_size", "_rank", F.explode(F.array(*[finish(k) for k in range(REPEATS)])).alias("_time")).where("_time is not null")
     offers = offers.withColumn("_bin", bin_of(F.col("_time")))
@@ -110,19 +110,20 @@ def mix(docs: DataFrame, carry: list[str]) -> DataFrame:
                 fits = fits | (bin_of(time) == cut["_bin"]) & edge
             taken.append(F.coalesce(fits, F.lit(False)))
     times = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
-    return rows.select(*[F.col(f"`{c}`") for c in carry], "_size", "source_size", "target", times.alias("_times"))
+    return rows.select(*[f"_c{k}" for k in range(len(carry))], "_size", "source_size", "target", times.alias("_times"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words taken, repeats counted) of every row."""
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"], docs["source"])
-    return mix(docs, ["doc_id"]).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
+    return mix(docs, ["doc_id"]).select(F.col("_c0").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def taken_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it's taken, all columns as they are."""
     found = mix(docs, docs.columns).where("_times > 0")
-    return found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return found.select(*[f"_c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 #: DuckDB SQL for mixed().
