@@ -59,6 +59,10 @@ class Merges:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        self.ranks = {pair: rank for pair, (rank, _) in self.pairs.items()}
+        self.made = [0] * len(model["merges"])  # by rank
+        for rank, merged in self.pairs.values():
+            self.made[rank] = merged
         self.characters = byte_characters()
 
     def symbols(self, piece: str) -> list[int]:
@@ -72,16 +76,16 @@ class Merges:
         return self._merge_short(word) if len(word) <= 48 else self._merge_long(word)
 
     def _merge_short(self, word: list[int]) -> list[int]:
-        find = self.pairs.get
-        while len(word) > 1:
-            best = None
-            for k in range(len(word) - 1):
-                found = find((word[k], word[k + 1]))
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
-                break
-            word[at : at + 2] = [best[1]]
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(pair, none) for pair in zip(word, word[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            word[k : k + 2] = [made[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((word[k - 1], word[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((word[k], word[k + 1]), none)
         return word
 
     def _merge_long(self, word: list[int]) -> list[int]:

@@ -41,7 +41,7 @@ PLAIN = re.compile(r"[\x09-\x0D\x20-\x7E¡-įı-ſ‐-‧‰-⁞€]*")
 class Codec:
     """Encodes and decodes with one vocabulary; one for each Python worker."""
 
-    def __init__(self, path: str, compiled: bytes | None = None, memo: int = 150_000):
+    def __init__(self, path: str, compiled: bytes | None = None, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
@@ -51,7 +51,8 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) or r"(?!)")
         self.lexicon = Lexicon(compiled) if compiled else None
         self.cut = regex.compile(WORD)
-        self.words = Memo(self._word, memo)
+        self.words = Memo(self._word, memo // 4)
+        self.coded = {i: int(i).to_bytes(4, "little") for i in self.merges.tokens}
         self.chunks = Memo(self._chunk, memo)
 
     def _word(self, word: str) -> list[int]:
@@ -61,8 +62,13 @@ class Codec:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids, as bytes, and decoded text of what stands between white space: its words depend on nothing else."""
-        ids = [i for word in self.cut.findall(chunk) for i in self.words[word]]
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+        if chunk.isalpha():  # one word; it comes again in this form, if at all
+            ids = self._word(chunk)
+        elif chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            ids = self.words[chunk[:-1]] + self.words[chunk[-1]]
+        else:
+            ids = [i for word in self.cut.findall(chunk) for i in self.words[word]]
+        return b"".join(map(self.coded.__getitem__, ids)), self.decode(ids)
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special strings, as the library cuts it."""
