@@ -1 +1 @@
-
+"""Column functions of text and vectors."""

@@ -1,5 +1,13 @@
-"""Named queries over the driver's tables and their DuckDB equivalents."""
+"""Named queries over the driver's tables and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+Stand-ins: documents are chunks (source: document and ticker, lang: section,
+labels.quality: narrative), benchmark holds the questions, embeddings the vectors of
+the documents with the same number and of the questions, events the queues.
+"""
+
+from . import retrieval  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = QUERIES["hybrid_search"]
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
