@@ -5,7 +5,7 @@ labels.quality: narrative), benchmark holds the questions, embeddings the vector
 the documents with the same number and of the questions, events the queues.
 """
 
-from . import retrieval  # noqa: F401
+from . import evaluation, ingestion, maintenance, monitoring, relational, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = QUERIES["hybrid_search"]

@@ -64,17 +64,17 @@ def context(candidates: str, score: str, budget: int = S.max_context_tokens - S.
     """Citations of build_context from a table with query_id, doc_id, source, lang, text, v, place (1 to n without gaps)."""
     return f"""cands as (select query_id, doc_id, source, place, {score} as score, greatest(1, length(text) // 4)::int as n, source || ' | Item ' || lang || '.' as label, v from {candidates}),
     folds as (
-      select query_id, 0 as at, 0 as used, []::bigint[] as ids, []::varchar[] as docs, []::double[][] as vs, 0 as db, 0 as dc, 0 as dd from (select distinct query_id from cands)
+      select query_id, 0 as pos, 0 as used, []::bigint[] as ids, []::varchar[] as docs, []::double[][] as vs, 0 as db, 0 as dc, 0 as dd from (select distinct query_id from cands)
       union all
-      select query_id, at + 1,
+      select query_id, pos + 1,
         case when ok = 0 then used + n else used end, case when ok = 0 then list_append(ids, place) else ids end,
         case when ok = 0 then list_append(docs, source) else docs end, case when ok = 0 and v is not null then list_append(vs, v) else vs end,
         db + (ok = 1)::int, dc + (ok = 2)::int, dd + (ok = 3)::int
       from (select folds.*, c.place, c.n, c.source, c.v, case when used + c.n > {budget} then 1
           when len(list_filter(docs, lambda x: x = c.source)) >= {S.per_document} then 2
           when c.v is not null and len(vs) > 0 and list_max(list_transform(vs, lambda x: list_dot_product(x, c.v))) >= {S.dedupe_threshold}e0 then 3 else 0 end as ok
-        from folds join cands c on c.query_id = folds.query_id and c.place = folds.at + 1)),
-    ended as (select * from folds f where at = (select max(at) from folds g where g.query_id = f.query_id)),
+        from folds join cands c on c.query_id = folds.query_id and c.place = folds.pos + 1)),
+    ended as (select * from folds f where pos = (select max(pos) from folds g where g.query_id = f.query_id)),
     context as (select e.query_id, k.citation_id::int as citation_id, c.doc_id, c.source, round(c.score, 4) as score, c.n as n_tokens, c.label, e.used::int as context_tokens,
       len(list_distinct(e.docs))::int as n_documents, e.db::int as dropped_budget, e.dc::int as dropped_doc_cap, e.dd::int as dropped_duplicate
       from ended e, (select query_id, unnest(ids) as place, generate_subscripts(ids, 1) as citation_id from ended) k join cands c on c.query_id = k.query_id and c.place = k.place where k.query_id = e.query_id)"""

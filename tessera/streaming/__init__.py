@@ -1 +1 @@
-
+"""Structured Streaming forms of index synchronisation and metrics."""
