@@ -33,6 +33,9 @@ from .shared import SPACE, new_path, skew_safe_join, written
 
 #: Rows of one group that a task compares, about.
 SALT_ROWS = 1000
+#: Rows in a partition of the state, about: each partition's store takes 4 MB of disk and more, however few rows it holds.
+STATE_ROWS = 10_000
+STATE_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -69,15 +72,19 @@ def stays() -> Column:
     return F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
 
 
-def deduplicated(stream: DataFrame, checkpoint: str, out: str, once: bool = True) -> int:
+def deduplicated(stream: DataFrame, checkpoint: str, out: str, once: bool = True, rows: int | None = None) -> int:
     """Run a stream of contents() against the state in `checkpoint`; each batch's changed groups go to `out`.
 
     Returns the number of batches.  With once=True it ends when all rows there are have
-    been read; a later call with the same folders goes on from the state.
+    been read; a later call with the same folders goes on from the state.  A new state
+    has as many partitions as a shuffle, or fewer where `rows` says that few rows come.
     """
     spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
+    settings = dict(STATE)
+    if rows is not None:
+        settings[STATE_PARTITIONS] = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows // STATE_ROWS + 1)))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     state = stream.groupBy("digest").agg(F.min(stays()).alias("keep"), F.count("*").alias("group_size"))
     batches: list[int] = []
@@ -113,7 +120,7 @@ def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     total = content.count()
     if not total:
         return content.select("digest", "doc_id", "file", "row", stays().alias("keep"), F.lit(0).cast("long").alias("group_size"))
-    batches = deduplicated(spark.readStream.schema(content.schema).parquet(folder), new_path(spark, "dedup-checkpoint"), out)
+    batches = deduplicated(spark.readStream.schema(content.schema).parquet(folder), new_path(spark, "dedup-checkpoint"), out, rows=total)
     state = latest(spark, out) if batches > 1 else spark.read.parquet(f"{out}/batch=0").select("digest", "keep", "group_size")
     found = written(skew_safe_join(content.select("digest", "doc_id", "file", "row"), state, "digest", "group_size", total), "dedup-groups")
     wrong = written(differing(rows, found), "dedup-differing")
