@@ -16,10 +16,13 @@ SENTENCE_END = r"""(?<=[.!?])["')\]]*(?U:\s+)(?=["'(\[]*[A-Z0-9$])"""
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+#: A run of letters a to z and digits that is no stopword; one pattern does without a function for each word.
+TERM = f"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]+"
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of letters a to z and digits, without stopwords, in order."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda t: ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
 
 
 def stripped(text: Column) -> Column:
@@ -33,7 +36,9 @@ def content_hash(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Without page furniture; no-break spaces and runs of blanks become one, more than one blank line too."""
-    text = reduce(lambda t, p: F.regexp_replace(t, p, " "), PAGE_FURNITURE, text)
+    footer, *others = PAGE_FURNITURE
+    text = F.when(F.contains(text, F.lit("|")), F.regexp_replace(text, footer, " ")).otherwise(text)  # the footer has bars, and is slow to look for
+    text = reduce(lambda t, p: F.regexp_replace(t, p, " "), others, text)
     text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t]+", " ")
     return stripped(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 

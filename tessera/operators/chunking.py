@@ -52,12 +52,12 @@ def pack_units(units: list[list[str]], budget: int, overlap: int) -> list[list[s
 
 
 def packer(overlap: int):
-    """A function of sentences (arrays of tokens) and a budget: windows, joined by blanks."""
+    """A function of sentences and a budget of tokens: windows, joined by blanks."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def pack(sentences: pd.Series, budgets: pd.Series) -> pd.Series:
         def one(units, budget):
-            parts = [p for u in units for p in (split_unit(list(u), budget, overlap) if len(u) > budget else [list(u)])]
+            parts = [p for u in map(str.split, units) for p in (split_unit(u, budget, overlap) if len(u) > budget else [u])]
             return [" ".join(w) for w in pack_units(parts, budget, overlap)]
 
         return pd.Series([one(u, int(b)) for u, b in zip(sentences, budgets, strict=True)])
@@ -80,8 +80,7 @@ def budget(header: Column, s: Settings = DEFAULTS) -> Column:
 
 def windows(sections: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Sections (any columns, with header and text) to windows: adds window (from 0 on), body and token_count."""
-    cut = F.transform(T.sentences(T.cleaned(F.col("text"))), T.tokens)
-    packed = packer(s.chunk_overlap)(cut, budget(F.col("header"), s))
+    packed = packer(s.chunk_overlap)(T.sentences(T.cleaned(F.col("text"))), budget(F.col("header"), s))
     rows = sections.withColumn("_w", packed).select(*[c for c in sections.columns if c != "text"], F.posexplode("_w").alias("window", "body"))
     return rows.withColumn("token_count", F.size(T.tokens(F.col("body"))))
 
@@ -90,9 +89,10 @@ def chunks(sections: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Chunks of sections (document_id, tenant, source_uri, item, position, header, text).
 
     Short windows go, then windows whose content a document has had already, in the order
-    of its sections; numbers and identities count those that stay.
+    of its sections; numbers and identities count those that stay.  One shuffle by
+    document serves all three orders.
     """
-    rows = windows(sections, s).where(F.col("token_count") >= s.chunk_min).withColumn("content_sha256", T.content_hash(F.col("body")))
+    rows = windows(sections, s).where(F.col("token_count") >= s.chunk_min).withColumn("content_sha256", T.content_hash(F.col("body"))).repartition("document_id")
     order = ["position", "window"]
     first = F.row_number().over(Window.partitionBy("document_id", "content_sha256").orderBy(*order))
     kept = rows.withColumn("_n", first).where("_n = 1").drop("_n")

@@ -103,7 +103,7 @@ def hard_split(spark, sf_dir):
 def pack_windows(spark, sf_dir):
     """Lines (of at most 60 tokens here) packed to windows of 120 tokens, with up to 15 tokens carried over."""
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S"))
-    cut = F.transform(lines, lambda s: F.slice(T.tokens(s), 1, 60))
+    cut = F.transform(lines, lambda s: F.array_join(F.slice(T.tokens(s), 1, 60), " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", cut.alias("units")).where(F.size("units") > 0)
     windows = C.packer(15)("units", F.lit(120))
     sizes = F.transform(windows, lambda w: F.size(T.tokens(w)))
