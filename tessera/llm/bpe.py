@@ -6,6 +6,7 @@ import heapq
 import json
 import os
 from collections.abc import Callable
+from itertools import repeat
 
 import public_tokenizers
 
@@ -64,12 +65,15 @@ class Merges:
         for rank, merged in self.pairs.values():
             self.made[rank] = merged
         self.characters = byte_characters()
+        self.inner = [self.ids[c] for c in self.characters]
+        self.last = [self.ids[c + self.suffix] for c in self.characters]
 
     def symbols(self, piece: str) -> list[int]:
         """Ids of a word's bytes; the last one carries the end-of-word suffix, if the model has one."""
-        marks = [self.characters[b] for b in piece.encode("utf-8")]
-        marks[-1] += self.suffix
-        return [self.ids[m] for m in marks]
+        spelt = piece.encode("utf-8")
+        found = list(map(self.inner.__getitem__, spelt))
+        found[-1] = self.last[spelt[-1]]
+        return found
 
     def merge(self, word: list[int]) -> list[int]:
         """The exact encoding of one word: lowest rank first, leftmost first among equals."""
@@ -77,7 +81,7 @@ class Merges:
 
     def _merge_short(self, word: list[int]) -> list[int]:
         rank, made, none = self.ranks.get, self.made, len(self.made)
-        ranks = [rank(pair, none) for pair in zip(word, word[1:], strict=False)]
+        ranks = list(map(rank, zip(word, word[1:], strict=False), repeat(none)))
         while ranks and (best := min(ranks)) < none:
             k = ranks.index(best)
             word[k : k + 2] = [made[best]]

@@ -126,7 +126,7 @@ def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         def handed_on() -> pa.RecordBatch:
             for chunk, n in chunks.items():
-                for word in own.cut.findall(chunk):
+                for word in (chunk,) if chunk.isalpha() else own.cut.findall(chunk):
                     words[word] += n
             out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
             chunks.clear()

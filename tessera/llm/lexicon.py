@@ -9,8 +9,12 @@ from collections.abc import Iterable
 import numpy as np
 
 
+#: Spreads arcs over the slots of their table.
+SPREAD = 40503
+
+
 def compile_words(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
-    """Compile words with their id sequences.
+    """Compile words, none of them empty, with their id sequences.
 
     States are merged when their finality and arcs agree, so words share suffixes.  An
     arc's output is the number of words that sort before those behind it; the outputs
@@ -56,15 +60,15 @@ def compile_words(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
     number = {s: k for k, s in enumerate(reversed(order))}  # the root is 0
     n_arcs = sum(len(arcs[s]) for s in order)
     slots = 1 << max(4, (2 * n_arcs).bit_length())
-    table = np.zeros((slots, 3), np.uint32)  # state * 256 + label + 1, next state * 2 + final, output
+    table = np.zeros((4, slots), np.uint32)  # of each arc: state and label, next state, whether that is final, output
     for s in order:
         out = int(final[s])
         for label, child in sorted(arcs[s].items()):
-            key = number[s] * 256 + label + 1
-            k = key * 2654435761 % slots
-            while table[k, 0]:
-                k = (k + 1) % slots
-            table[k] = key, number[child] * 2 + final[child], out
+            key = number[s] * 256 + 1 + label
+            k = key * SPREAD & slots - 1
+            while table[0, k]:
+                k = (k + 1) & slots - 1
+            table[:, k] = key, number[child] * 256 + 1, final[child], out
             out += words_below[child]
     starts = np.cumsum([0, *(len(ids) for _, ids in entries)], dtype=np.uint32)
     ids = np.array([i for _, ids in entries for i in ids], np.uint32)
@@ -83,19 +87,23 @@ class Lexicon:
         finally:
             os.close(fd)
         self.slots, self.words, n_ids, self.states = view[:4]
-        self.table = view[4 : 4 + 3 * self.slots]
-        self.starts = view[4 + 3 * self.slots :][: self.words + 1]
-        self.ids = view[4 + 3 * self.slots + self.words + 1 :][:n_ids]
+        self.keys, self.next, self.final, self.out = (view[4 + k * self.slots :][: self.slots] for k in range(4))
+        self.starts = view[4 + 4 * self.slots :][: self.words + 1]
+        self.ids = view[4 + 4 * self.slots + self.words + 1 :][:n_ids]
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word of the lexicon, else None."""
-        table, slots, at, number = self.table, self.slots, 0, 0
+        keys, follow, last, at, path = self.keys, self.next, self.slots - 1, 1, []
         for label in word:
-            key = (at >> 1) * 256 + label + 1
-            k = key * 2654435761 % slots
-            while (found := table[3 * k]) != key:
+            key = at + label
+            k = key * SPREAD & last
+            while (found := keys[k]) != key:
                 if not found:
                     return None
-                k = (k + 1) % slots
-            at, number = table[3 * k + 1], number + table[3 * k + 2]
-        return self.ids[self.starts[number] : self.starts[number + 1]].tolist() if at & 1 else None
+                k = k + 1 & last
+            path.append(k)
+            at = follow[k]
+        if not path or not self.final[k]:
+            return None
+        number = sum(map(self.out.__getitem__, path))
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
