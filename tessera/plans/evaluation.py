@@ -12,7 +12,7 @@ from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators.search import Search, diverse, fused, hydrate
 from ..operators.selection import overlap_score, rerank
-from ..operators.sparse import bm25_topk
+from ..operators.sparse import BROADCAST_TERMS, bm25_topk
 from . import retrieval as R
 from . import sql as Q
 from .registry import query, table
@@ -30,7 +30,9 @@ def relevant(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     inner = F.array_distinct(F.regexp_extract_all(F.col("phrase"), F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), 0))  # runs that are whole in the text too
     terms = asked.select("query_id", F.explode(inner).alias("term"))
-    vocabulary = F.broadcast(terms.select("term").distinct())  # bounded by the benchmark's size, which is checked there
+    vocabulary = terms.select("term").distinct()
+    if vocabulary.count() <= BROADCAST_TERMS:
+        vocabulary = F.broadcast(vocabulary)
     runs = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9]+"), 0))
     postings = d.select("doc_id", F.explode(runs).alias("term")).join(vocabulary, "term")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evaluation, fusion, maintenance, monitoring, postings, selection, sparse
+from tessera.operators import chunking, evaluation, fusion, generation, maintenance, monitoring, postings, selection, sparse
 from tessera.operators import dense as D
 from tessera.operators.breaker import CircuitBreaker, CircuitOpen
 from tessera.operators.filters import InvalidFilter, build_filter, validate_request
@@ -318,3 +318,13 @@ def test_chunks(spark):
     assert all(8 <= r.token_count <= 113 for r in got) and len({r.chunk_id for r in got}) == len(got)
     with pytest.raises(Exception, match="chunk budget"):
         chunking.chunks(sections, Settings(chunk_size=40)).count()
+
+
+def test_answers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "q1", "[1] (d)\ntext"), (2, "q2", ""), (3, "q3", None)], "query_id long, question string, context_text string")
+    assert {r.answer for r in generation.answers(rows).collect()} == {None}
+    got = {r.query_id: r.answer for r in generation.answers(rows, lambda p: p[-2:]).collect()}
+    assert got == {1: "q1", 2: None, 3: None}
+    for run in ("r1", "r2"):
+        generation.append_results(rows.select("query_id"), str(tmp_path / "runs"), run, "dense")
+    assert spark.read.parquet(str(tmp_path / "runs")).where("run_id = 'r1'").count() == 3
