@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Memo, Merges, vocabulary_path
 from .lexicon import Lexicon, compile_words
-from .shared import arrow_rows
+from .shared import arrow_rows, discard, written
 
 VOCABULARY = "word_bpe_49k.json"
 WORDS = 32_768
@@ -149,9 +149,21 @@ def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) -> bytes:
-    """The compiled transducer of the corpus's most frequent words; `words` bounds its size."""
+    """The compiled transducer of the corpus's most frequent words, at most `words` of them.
+
+    Counts fall into bins, 16 to each doubling; the lexicon takes whole bins from the top
+    as long as they fit.  So neither a task nor the driver sorts or gets more than that.
+    """
     own = codec(vocabulary_path(vocabulary), None)
-    top = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = written(word_counts(docs, vocabulary).withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "bpe-words")
+    taken, least = 0, None
+    for b in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        taken += b["count"]
+        if taken > words:
+            break
+        least = b["bin"]
+    top = [] if least is None else counts.where(F.col("bin") >= least).select("word").collect()
+    discard(counts)
     return compile_words((r.word.encode("utf-8"), own.merges.merge(own.merges.symbols(r.word))) for r in top)
 
 
