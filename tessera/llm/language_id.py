@@ -145,7 +145,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select(F.col("_0").alias("doc_id"), held_out(F.col("_0")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows whose language is known with a probability of `least` or more, all columns as they are.
 
     Learns as language_id does; rejects texts without a letter and those on which the languages disagree.
