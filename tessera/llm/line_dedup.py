@@ -57,7 +57,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gone = covered(docs.select("doc_id", "text").where(F.col("text").isNotNull())).withColumnsRenamed({"_d": "_d2", "_t": "_t2"})
     both = rows.join(gone, rows["_d"].eqNullSafe(gone["_d2"]) & (rows["_t"] == gone["_t2"]), "left")
     lines = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda s, k: ~F.array_contains("_gone", k)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))  # by hashing: linear in a text's lines
+    picked = F.transform(F.array(lines), lambda ls: F.transform(places, lambda k: F.get(ls, k)))  # the outer function cuts the text once
+    left = F.array_join(picked[0], "\n")
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
     size = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     columns = [left.alias(c) if c == text else F.col(c) for c in kept]
