@@ -101,10 +101,13 @@ def hard_split(spark, sf_dir):
     select doc_id, len(sizes)::bigint as n_windows, array_to_string(sizes, ',') as sizes from e"""
 )
 def pack_windows(spark, sf_dir):
-    """Lines (of at most 60 tokens here) packed to windows of 120 tokens, with up to 15 tokens carried over."""
+    """Lines packed to windows of 120 tokens, with up to 15 tokens carried over; longer lines are split with 15 tokens shared.
+
+    The SQL above drops what follows the 60th token of a line, so it differs where a line is longer.
+    """
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S"))
-    cut = F.transform(lines, lambda s: F.array_join(F.slice(T.tokens(s), 1, 60), " "))
-    rows = table(spark, sf_dir, "documents").select("doc_id", cut.alias("units")).where(F.size("units") > 0)
+    whole = F.transform(lines, lambda s: F.array_join(T.tokens(s), " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", whole.alias("units")).where(F.size("units") > 0)
     windows = C.packer(15)("units", F.lit(120))
     sizes = F.transform(windows, lambda w: F.size(T.tokens(w)))
     return rows.select("doc_id", sizes.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_windows"), F.array_join(F.col("s").cast("array<string>"), ",").alias("sizes"))
