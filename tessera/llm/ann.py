@@ -4,8 +4,14 @@ Vectors are brought to length 1, so that the largest cosine is the largest inner
 product.  Pairs of components are quantised to 16 centres each (4 bits).  Codes and
 centres minimise a loss that weighs the part of the residual parallel to the vector more
 than the rest, since only the parallel part shifts the large inner products.  A search
-looks scores up in a table for each query, keeps the RERANK best distinct vectors of each
-block, and ranks these by the exact cosine of the original vectors in double precision.
+looks scores up in a table for each query and ranks the RERANK best distinct vectors of
+each block by the exact cosine of the original vectors in double precision, then all others
+whose looked-up score doesn't prove their cosine below the k-th best of these.  So codes
+only save work: the result is that of a search through all vectors.
+
+The proof: let a unit vector x have the code's vector y, a = (x - y)x, and r the length of
+x - y without its part along x.  For a unit query with cosine s to x the looked-up score
+lies within r sqrt(1 - s^2) of s (1 - a).
 
 The codebook is fitted on a bounded sample of about SAMPLE vectors, chosen by a hash of
 the identifier; every vector is indexed and scanned.  On vectors without clusters, such
@@ -37,7 +43,7 @@ CENTRES = 16
 THRESHOLD = 0.2
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
-#: Distinct vectors of a block that are ranked exactly for each query.
+#: Distinct vectors of a block that are ranked exactly for each query before the bound is known.
 RERANK = 96
 NEAREST = 5
 
@@ -121,6 +127,23 @@ def tables(book: Codebook, queries: np.ndarray) -> np.ndarray:
     return (part[:, 1::2, :, None] + part[:, ::2, None, :]).reshape(len(x), -1, 256).astype(np.float32)
 
 
+def residuals(book: Codebook, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For paired vectors and their packed codes: the residual's part along the vector, and the length of the rest."""
+    pairs = x.shape[1]
+    at = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, :pairs]
+    left = x - book.centres[np.arange(pairs), at]
+    along = (left * x).sum(axis=(1, 2))
+    rest = left - along[:, None, None] * x
+    return along, np.sqrt((rest**2).sum(axis=(1, 2)))
+
+
+def least_scores(along: np.ndarray, across: np.ndarray, cosine: float) -> np.ndarray:
+    """The least looked-up score that a vector with the given residual can have if its cosine is `cosine` or more."""
+    scale = np.maximum(np.hypot(1 - along, across), 1e-300)
+    s = np.clip(np.maximum(cosine, -(1 - along) / scale), -1, 1)  # the least value of s (1 - along) - across sqrt(1 - s^2), or the first s that counts
+    return s * (1 - along) - across * np.sqrt(1 - s**2)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -142,6 +165,21 @@ def search_tile(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.
     start, end = np.searchsorted(group[by_group], np.arange(len(first))), np.searchsorted(group[by_group], np.arange(len(first)), "right")
     column = np.ascontiguousarray(codes[first].T)
     length, q_length = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
+    along, across = residuals(book, paired(vectors[first]), codes[first])
+
+    def first_of_each(rows: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of different identifiers."""
+        order = np.lexsort((ids[rows], -exact))
+        order = order[np.sort(np.unique(ids[rows[order]], return_index=True)[1])][:k]
+        return rows[order], exact[order]
+
+    def ranked(groups: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows, but the query's own, of distinct vectors by their exact cosines to query i."""
+        n = end[groups] - start[groups]
+        rows = by_group[np.repeat(start[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        rows = rows[ids[rows] != query_ids[i]]
+        return first_of_each(rows, (vectors[rows] * queries[i]).sum(axis=1) / (length[rows] * q_length[i]))
+
     found: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(queries), 256):
         table = tables(book, queries[lo : lo + 256])
@@ -150,12 +188,15 @@ def search_tile(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.
             for b in range(1, len(column)):
                 score += own[b][column[b]]
             best = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-            n = end[best] - start[best]
-            rows = by_group[np.repeat(start[best] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            rows = rows[ids[rows] != query_ids[i]]
-            exact = (vectors[rows] * queries[i]).sum(axis=1) / (length[rows] * q_length[i])
-            top = np.lexsort((ids[rows], -exact))[: 2 * k]
-            found.append((np.full(len(top), query_ids[i]), ids[rows[top]], exact[top]))
+            rows, exact = ranked(best, i)
+            if len(score) > len(best):
+                slack = 1e-9 + (len(own) + 2) * np.finfo(np.float32).eps * float(np.abs(own).max(axis=1).sum())  # rounding of the table and its sums
+                may = np.ones(len(score), bool) if len(rows) < k else score >= least_scores(along, across, exact[k - 1] - 1e-12) - slack
+                may[best] = False
+                if may.any():
+                    more, other = ranked(np.flatnonzero(may), i)
+                    rows, exact = first_of_each(np.concatenate([rows, more]), np.concatenate([exact, other]))
+            found.append((np.full(len(rows), query_ids[i]), ids[rows], exact))
     return tuple(np.concatenate([f[c] for f in found]) for c in range(3)) if found else (ids[:0], ids[:0], length[:0])
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
+from tessera.llm import ann
 from tessera.plans import QUERIES
 
 
@@ -37,3 +41,21 @@ def test_pack_windows_keeps_long_lines(spark, tmp_path):
     for k, text in rows:
         sizes = brute_windows(text)
         assert (got[k].n_windows, got[k].sizes) == (len(sizes), ",".join(map(str, sizes)))
+
+
+@pytest.mark.parametrize(("copies", "noise"), [(3000, 0.01), (500, 0.01), (3000, 0.2), (500, 0.2)])
+def test_ann_tells_near_copies_apart(copies, noise):
+    """Near copies share their codes; the nearest are found all the same."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x[:copies] = x[0] + noise * rng.normal(size=(copies, 64))
+    book = ann.fit(x[::5])
+    codes = ann.packed(ann.assign(book, ann.paired(x)))
+    asked = np.concatenate([np.arange(0, copies, copies // 20), np.arange(copies, 6000, 500)])
+    q, v, score = ann.search_tile(book, np.arange(6000), x, codes, asked, x[asked], 5, ann.RERANK)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in asked:
+        exact = unit @ unit[i]
+        exact[i] = -9
+        got = v[q == i][np.lexsort((v[q == i], -score[q == i]))]
+        assert got.tolist() == np.lexsort((np.arange(6000), -exact))[:5].tolist()
