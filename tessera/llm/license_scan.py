@@ -1,7 +1,7 @@
 """Operator 1: licence scans by sentence rules; DataFrame functions only.
 
 A text is cut into sentences at line ends and after `.`, `!`, `?`, `:` and `;` before
-white space.  A sentence is lower-cased, everything but letters, digits, `.`, `+` and
+white space, but not after `SPDX-License-Identifier:`.  A sentence is lower-cased, everything but letters, digits, `.`, `+` and
 `-` becomes one space, and the ends are trimmed.  The first known sentence whose
 pattern is found in it names it; a sentence that speaks of licences but matches none is
 UNKNOWN.  Ordered rules then match the sequence of names: each match gives its licence
@@ -93,7 +93,7 @@ MENTION = r"licen[cs]e|copyright|permission|redistribution|public domain|warrant
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (names, joined by commas), licenses (sorted, joined by commas), n_unknown of every row."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    cut = F.split(F.regexp_replace("text", r"([.!?:;])[\x20\x09-\x0D]+", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace("text", r"([.!?:;])(?<!(?i:spdx-license-identifier:))[\x20\x09-\x0D]+", "$1\n"), "\n")
     told = F.filter(cut, lambda s: s.rlike(f"(?i){MENTION}"))
 
     def name(sentence):

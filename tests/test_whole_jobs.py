@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.llm import ann
+from tessera.llm import ann, license_scan
 from tessera.plans import QUERIES
 
 
@@ -59,3 +59,13 @@ def test_ann_tells_near_copies_apart(copies, noise):
         exact[i] = -9
         got = v[q == i][np.lexsort((v[q == i], -score[q == i]))]
         assert got.tolist() == np.lexsort((np.arange(6000), -exact))[:5].tolist()
+
+
+def licences(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licenses for r in license_scan.license_scan(docs).orderBy("doc_id").collect()]
+
+
+def test_license_scan_finds_spdx_marks(spark):
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0", "/* spdx-license-identifier:  GPL-3.0-only */\nint y;", "SPDX-License-Identifier:BSD-3-Clause", "x\n# SPDX-License-Identifier: MIT\n# Copyright 2020 A\nimport b"]
+    assert licences(spark, texts) == ["MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT"]
