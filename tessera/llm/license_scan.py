@@ -1,11 +1,15 @@
 """Operator 1: licence scans by sentence rules; DataFrame functions only.
 
-A text is cut into sentences at line ends and after `.`, `!`, `?`, `:` and `;` before
-white space, but not after `SPDX-License-Identifier:`.  A sentence is lower-cased, everything but letters, digits, `.`, `+` and
-`-` becomes one space, and the ends are trimmed.  The first known sentence whose
-pattern is found in it names it; a sentence that speaks of licences but matches none is
-UNKNOWN.  Ordered rules then match the sequence of names: each match gives its licence
-and uses its names up, so that a longer rule hides the shorter ones after it.
+The lines of a paragraph are joined, without the marks of comments before them, but for
+SPDX marks and lines that begin with a copyright.  Paragraphs are cut into sentences
+after `.`, `!`, `?`, `:` and `;` before white space, but not after
+`SPDX-License-Identifier:` or before `either version`.  A sentence is lower-cased,
+everything but letters, digits, `.`, `+` and `-` becomes one space, and the ends are
+trimmed.  All known sentences whose patterns are found in it name it, in the order of
+their places, of several at one place the first known; a sentence that speaks of licences
+but matches none is UNKNOWN.  Ordered rules then match the sequence of names but UNKNOWN:
+each match gives its licence and uses its names up, so that a longer rule hides the
+shorter ones after it.
 
 Everything happens within a row: no shuffle, no state, any number of copies.
 
@@ -16,8 +20,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,10 @@ SENTENCES = [
     ("COPYRIGHT", r"^copyright "),
 ]
 
+#: Patterns that also find the wording of the published notices; the SQL has the shorter ones above.
+_PUBLISHED = r"public license( as published by the free software foundation)?( either)? version"
+WORDINGS = {n: p.replace("public license version", _PUBLISHED) for n, p in SENTENCES if "general public license version" in p}
+
 #: Ordered rules: sequences of sentence names and the licence that they state.
 RULES = [
     (["SPDX-MIT"], "MIT"),
@@ -93,18 +99,29 @@ MENTION = r"licen[cs]e|copyright|permission|redistribution|public domain|warrant
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (names, joined by commas), licenses (sorted, joined by commas), n_unknown of every row."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    cut = F.split(F.regexp_replace("text", r"([.!?:;])(?<!(?i:spdx-license-identifier:))[\x20\x09-\x0D]+", "$1\n"), "\n")
+    text = F.regexp_replace("text", r"(?md)\r$|^[\x20\t]*(?:(?://+|/\*+/?|\*+/?|#+|--+|;+|%+|<!--|>+)[\x20\t]*)?", "")
+    text = F.regexp_replace(text, r"(?md)^(.*(?i:spdx-license-identifier:).*)$", "\n$1\n")
+    text = F.regexp_replace(text, r"(?md)^(?=Copyright |(?i:copyright)\s+(?:\([cC]\)|©|[0-9]))", "\n")
+    text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    cut = F.split(F.regexp_replace(text, r"([.!?:]|;(?!\s+either\s+version))(?<!(?i:spdx-license-identifier:))[\x20\x09-\x0D]+", "$1\n"), "\n")
     told = F.filter(cut, lambda s: s.rlike(f"(?i){MENTION}"))
 
-    def name(sentence):
+    def cleaned(sentence):
         clean = F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+-]+", " "))
-        clean = F.regexp_replace(clean, r"\.$", "")
-        found = reduce(lambda c, p: c.when(clean.rlike(p[1]), F.lit(p[0])), SENTENCES[1:], F.when(clean.rlike(SENTENCES[0][1]), F.lit(SENTENCES[0][0])))
-        return found.otherwise(F.lit("UNKNOWN"))
+        return F.regexp_replace(clean, r"\.$", "")
+
+    def found_in(clean):
+        places = [F.struct(F.regexp_instr(clean, F.lit(WORDINGS.get(n, p))).alias("at"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(SENTENCES)]
+        return F.array_sort(F.filter(F.array(*places), lambda x: x["at"] > 0))
+
+    def named(hits):
+        first = F.filter(hits, lambda x, i: ~F.get(hits, i - 1)["at"].eqNullSafe(x["at"]))
+        return F.when(F.size(hits) == 0, F.array(F.lit("UNKNOWN"))).otherwise(F.transform(first, lambda x: x["name"]))
 
-    names = F.when(F.col("text").rlike(f"(?i){MENTION}"), F.transform(told, name))
+    told = F.transform(F.transform(F.transform(told, cleaned), found_in), named)
+    names = F.when(F.col("text").rlike(f"(?i){MENTION}"), F.flatten(told))
     found = docs.select("doc_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
-    found = found.withColumn("sentence_ids", F.array_join("names", ",")).withColumn("left0", F.concat(F.lit(","), F.array_join("names", ",,"), F.lit(",")))
+    found = found.withColumn("sentence_ids", F.array_join("names", ",")).withColumn("left0", F.concat(F.lit(","), F.array_join(F.filter("names", lambda s: s != "UNKNOWN"), ",,"), F.lit(",")))
     rest = F.col("left0")
     hits = []
     for sequence, licence in RULES:
@@ -118,7 +135,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The same as DuckDB SQL."""
+    """As DuckDB SQL, line by line and with one name for a sentence: the same where no statement is wrapped or holds several names."""
     quoted = "'" + "(?i)" + MENTION + "'"
     cases = " ".join(f"when regexp_matches(c, '{p}') then '{n}'" for n, p in SENTENCES)
     steps, rest, hits = [], "left0", []
