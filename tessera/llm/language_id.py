@@ -35,6 +35,8 @@ MAX_LANGUAGES = 200
 #: Characters that are scored at once.
 AT_ONCE = 1_000_000
 UNKNOWN = "und"
+#: How far the mean of a text's n-grams may lie below its language's, in standard deviations of single n-grams.
+SPREADS = 1.5
 
 
 @dataclass
@@ -72,16 +74,24 @@ def buckets(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray,
     return found, ends, np.logical_or.reduceat(is_letter, ends[:-1]) if texts else np.zeros(0, bool)
 
 
+def sampled(rows: DataFrame, per_language: int, max_languages: int) -> tuple[list, DataFrame]:
+    """Counts of the most frequent languages, and about `per_language` rows of each, chosen by a hash of doc_id."""
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counted:
+        return [], rows.limit(0)
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, per_language / r.n))])
+    chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return counted, rows.where(chance < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+
+
 def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Learn from the rows of docs (text, lang) for which `train` holds; sampled by a hash of doc_id."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counted, sample = sampled(rows, per_language, max_languages)
     names = sorted(r.lang for r in counted)
     if not names:
         return LanguageModel([], np.zeros(0), np.zeros((0, (1 << bits) + 1), np.float32))
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, per_language / r.n))])
-    chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(chance < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text").repartition(8)
+    sample = sample.select("lang", "text").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), (1 << bits) + 1), np.int64)
@@ -102,8 +112,8 @@ def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANG
     return LanguageModel(names, np.log(seen / seen.sum()), weights.astype(np.float32))
 
 
-def scores(texts: list[str], model: LanguageModel, bits: int) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its posterior probability."""
+def scores(texts: list[str], model: LanguageModel, bits: int, moments: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The likeliest language of each text, its posterior probability, and with `moments` mean and variance of its n-grams' log probabilities."""
     found, ends, has_letter = buckets(texts, bits)
     total = np.empty((len(model.languages), len(texts)))
     for k, (row, prior) in enumerate(zip(model.weights, model.prior, strict=True)):
@@ -113,11 +123,19 @@ def scores(texts: list[str], model: LanguageModel, bits: int) -> tuple[list[str]
         total[k] = prior + np.add.reduceat(gathered, ends[:-1], dtype=np.float64)
     best = total.argmax(axis=0)
     score = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-    return [model.languages[k] if x else UNKNOWN for k, x in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0)
-
-
-def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS) -> DataFrame:
-    """Columns _0, _1 and so on as those of docs, and _lang and _score, from the column text alone; no shuffle."""
+    own = np.repeat(best, np.diff(ends))
+    n, first, second = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    for at in found if moments else []:
+        gathered = model.weights[own, at].astype(np.float64)
+        n += np.add.reduceat(at < 1 << bits, ends[:-1], dtype=np.float64)
+        first += np.add.reduceat(gathered, ends[:-1])
+        second += np.add.reduceat(gathered**2, ends[:-1])
+    mean = first / np.maximum(n, 1)
+    return [model.languages[k] if x else UNKNOWN for k, x in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), mean, second / np.maximum(n, 1) - mean**2
+
+
+def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS, moments: bool = False) -> DataFrame:
+    """Columns _0, _1 and so on as those of docs, and _lang, _score, _mean and _variance (0 without `moments`), from the column text alone; no shuffle."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -128,13 +146,13 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS) -> DataFram
         own = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(where).to_pylist()]
-            predicted, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            predicted, score, mean, variance = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in groups([len(t) for t in texts], AT_ONCE) if own.languages else []:
-                predicted[a:b], score[a:b] = scores(texts[a:b], own, bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score)], [*names, "_lang", "_score"])
+                predicted[a:b], score[a:b], mean[a:b], variance[a:b] = scores(texts[a:b], own, bits, moments)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score), pa.array(mean), pa.array(variance)], [*names, "_lang", "_score", "_mean", "_variance"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return docs.toDF(*names).mapInArrow(run, f"{schema}, _lang string, _score double")
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, _lang string, _score double, _mean double, _variance double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -145,14 +163,33 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select(F.col("_0").alias("doc_id"), held_out(F.col("_0")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def least_mean(docs: DataFrame, model: LanguageModel, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> float:
+    """The mean log probability of n-grams below which a text is in no language of the model.
+
+    Held-out texts that are recognised show what a language's texts have; SPREADS standard
+    deviations of single n-grams below that, in the language where this is least, is the bound.
+    Without such texts those that taught the model do.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    for part in (rows.where(held_out(F.col("doc_id"))), rows):
+        _, sample = sampled(part, per_language, max_languages)
+        found = predict(sample.select("text", "lang"), model, moments=True).where(F.col("_1") == F.col("_lang"))
+        bounds = found.groupBy("_lang").agg((F.avg("_mean") - SPREADS * F.sqrt(F.avg("_variance"))).alias("bound")).agg(F.min("bound").alias("b")).first()
+        if bounds.b is not None:
+            return bounds.b
+    return float("-inf")
+
+
 def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows whose language is known with a probability of `least` or more, all columns as they are.
 
-    Learns as language_id does; rejects texts without a letter and those on which the languages disagree.
+    Learns as language_id does; rejects texts without a letter, those on which the languages disagree,
+    and those whose n-grams are too rare in every language (least_mean), as the posterior compares
+    known languages only and says nothing of others.
     """
     own = docs.select(docs["doc_id"].cast("long"), docs["text"], docs["lang"].cast("string"))
     model = learn(own, ~held_out(F.col("doc_id")))
     if not model.languages:
         return docs.limit(0)
-    kept = predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
-    return kept.drop("_lang", "_score").toDF(*docs.columns)
+    kept = predict(docs, model, moments=True).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least) & (F.col("_mean") >= least_mean(own, model)))
+    return kept.drop("_lang", "_score", "_mean", "_variance").toDF(*docs.columns)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tessera.llm import ann, license_scan
 from tessera.plans import QUERIES
 
+from .llm.test_operators import prose
+
 
 def brute_windows(text, budget=120, overlap=15):
     """Sizes of windows, by going through numbered tokens; every token must reach a window."""
@@ -118,3 +123,12 @@ def test_license_scan_finds_published_texts(spark):
     texts += [commented(t, mark) for t in (MIT, BSD, GPL) for mark in ("//", " *", "#", "--")] + [t.replace("\n", "\r\n") for t in (MIT, BSD, GPL)]
     want += [w for w in want[:3] for _ in range(4)] + want[:3]
     assert licences(spark, texts) == want
+
+
+def test_language_stage_rejects_unknown_languages(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, ("abcde", "vwxyz")[k % 2], rng.randrange(3, 40)), ("aa", "zz")[k % 2]) for k in range(300)]
+    foreign = [prose(rng, "mnopq"), prose(rng, "бвгде"), "すべての人間は生まれながらにして自由であり", "xkq zrtpl mwvbn qqzx hjklp wrtzx cvbnm ghtrw plkjh", prose(rng, "ghijkl", 5)]
+    planted = [(1000 + k, t, ("aa", None)[k % 2]) for k, t in enumerate(foreign)]
+    docs = spark.createDataFrame(rows + planted, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {k for k, *_ in rows}
