@@ -16,13 +16,10 @@ SENTENCE_END = r"""(?<=[.!?])["')\]]*(?U:\s+)(?=["'(\[]*[A-Z0-9$])"""
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-#: A run of letters a to z and digits that is no stopword; one pattern does without a function for each word.
-TERM = f"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]+"
-
-
 def terms(text: Column) -> Column:
     """Lower-case words of letters a to z and digits, without stopwords, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS))
 
 
 def stripped(text: Column) -> Column:

@@ -30,17 +30,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def int8_codes(a: Column) -> Column:
-    """Components of a unit vector in steps of 1/127."""
-    return F.transform(a.cast("array<double>"), lambda x: F.round(x * 127.0).cast("int"))
-
-
-def sign_bits(a: Column, start: int = 0) -> Column:
-    """The signs of up to 32 components from `start` on, as bits of a number."""
-    part = F.slice(a, start + 1, 32)
-    return F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 2 + F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-
-
 @F.pandas_udf(LongType())
 def term_id(terms: pd.Series) -> pd.Series:
     """31 bits of a BLAKE2b digest: the numbers of terms on the wire.  Joins use the terms themselves, which can't collide."""
@@ -55,8 +44,8 @@ def hash_embedding(dim: int):
     def embed(texts: pd.Series) -> pd.Series:
         def one(text):
             seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big")
-            v = np.random.Generator(np.random.PCG64(seed)).normal(size=dim)
-            return (v / np.linalg.norm(v)).astype("float32")
+            v = np.random.Generator(np.random.PCG64(seed)).standard_normal(dim).astype("float32")  # rounded first: single precision throughout
+            return v / np.linalg.norm(v)
 
         return texts.map(one)
 

@@ -17,12 +17,10 @@ from ..settings import DEFAULTS, ITEMS, Settings
 
 
 def split_unit(words: list[str], budget: int, overlap: int) -> list[list[str]]:
-    step, out = max(1, budget - overlap), []
-    for start in range(0, len(words), step):
-        out.append(words[start : start + budget])
-        if start + budget >= len(words):
-            break
-    return out
+    """Windows of `budget` words every budget - overlap, as many as the words need; none for none."""
+    step = max(1, budget - overlap)
+    more = max(0, -(-(len(words) - budget) // step))
+    return [words[k * step :][:budget] for k in range(more + 1 if words else 0)]
 
 
 def pack_units(units: list[list[str]], budget: int, overlap: int) -> list[list[str]]:

@@ -13,44 +13,83 @@ from ..settings import BLOCK_TAGS, CELL_TAGS, ITEM_SEPARATOR, ITEMS
 
 VOID = {"br", "hr"}
 
+#: What a start tag ends if it is open, and the elements beyond which it ends nothing.
+ENDS = {
+    "li": ({"li", "p"}, {"ul", "ol", "table"}),
+    "td": ({"td", "th", "p"}, {"table", "tr"}),
+    "th": ({"td", "th", "p"}, {"table", "tr"}),
+    "tr": ({"td", "th", "tr", "p"}, {"table"}),
+    "dt": ({"dt", "dd", "p"}, {"dl", "table"}),
+    "dd": ({"dt", "dd", "p"}, {"dl", "table"}),
+    "option": ({"option"}, {"select"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ({"td", "th", "tr", "thead", "tbody", "tfoot", "p"}, {"table"})),
+}
+PARAGRAPH = ({"p"}, {"table", "td", "th"})  # what any block ends
+
 
 class _Text(HTMLParser):
-    """Collects text; a cell's end adds a blank, a block's end a line feed, so that styled parts of a word join."""
+    """Collects text; a cell's end adds a blank, a block's end a line feed, so that styled parts of a word join.
+
+    Elements may be left open: a start tag ends those that can't hold it, an end tag those inside, the page all.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.hidden: str | None = None
-        self.paragraph = False
+        self.open: list[str] = []
+
+    def end_from(self, depth: int) -> None:
+        for tag in reversed(self.open[depth:]):
+            if tag in CELL_TAGS:
+                self.out.append(" ")
+            elif tag in BLOCK_TAGS:
+                self.out.append("\n")
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         if self.hidden:
             return
         if tag in ("script", "style"):
             self.hidden = tag
-        elif tag in VOID:
-            self.out.append("\n")
-        elif tag in BLOCK_TAGS and self.paragraph:  # a block ends a paragraph that is still open
+            return
+        ended, barrier = ENDS.get(tag, PARAGRAPH if tag in BLOCK_TAGS else ((), ()))
+        if ended:
+            depth = len(self.open)
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k] in ended:
+                    depth = k
+                if self.open[k] in barrier:
+                    break
+            self.end_from(depth)
+        if tag in VOID:
             self.out.append("\n")
-            self.paragraph = False
-        if tag == "p":
-            self.paragraph = True
+        else:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.hidden == tag:
+            self.hidden = None
+        elif tag not in VOID and not self.hidden:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.hidden:
             self.hidden = None if tag == self.hidden else self.hidden
-            return
-        if tag in CELL_TAGS:
-            self.out.append(" ")
-        elif tag in BLOCK_TAGS and tag not in VOID:
+        elif tag in self.open:
+            self.end_from(len(self.open) - 1 - self.open[::-1].index(tag))
+        elif tag == "p":  # stands for an empty paragraph
             self.out.append("\n")
-            if tag == "p":
-                self.paragraph = False
 
     def handle_data(self, data):
         if not self.hidden:
             self.out.append(data)
 
+    def close(self):
+        super().close()
+        self.end_from(0)
+
 
 def page_text(html: str | None) -> str | None:
     """Readable text of a page: no scripts, styles, comments or document type; entities decoded; white space collapsed."""

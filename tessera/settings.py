@@ -35,7 +35,7 @@ ITEMS = [
 ]
 
 #: Fixed value: what may stand between an item's number and its words.
-ITEM_SEPARATOR = "\\s*[\\.\\:\u2013\u2014-]?\\s*"
+ITEM_SEPARATOR = r"\s*[\.\:\u2013\u2014-]?\s*"
 
 #: Page furniture, as Java patterns, removed in this order.
 PAGE_FURNITURE = [

@@ -91,6 +91,24 @@ def test_context_rules():
     assert selection.pick(rows, 100, 3, 0.95) == ([0, 2, 4], {"budget": 1, "doc_cap": 0, "duplicate": 1})
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.sampled_from("ab"), st.sampled_from([None, (1.0, 0.0), (0.0, 2.0), (0.0, 0.0)])), max_size=12), st.integers(0, 120))
+def test_context_keeps_its_bounds(rows, budget):
+    """No citation can be added back, and none breaks a rule."""
+    chosen, dropped = selection.pick(rows, budget, 2, 0.95)
+    assert len(chosen) + sum(dropped.values()) == len(rows) and sum(rows[i][0] for i in chosen) <= budget
+    assert all(sum(rows[i][1] == d for i in chosen) <= 2 for d in "ab")
+    vectors = [rows[i][2] for i in chosen if rows[i][2] and any(rows[i][2])]
+    assert len(vectors) == len(set(vectors))
+
+
+def test_hash_embedding_in_single_precision(spark):
+    seed = int.from_bytes(hashlib.sha256(b"text").digest()[:8], "big")
+    v = np.random.default_rng(seed).standard_normal(16).astype(np.float32)
+    got = spark.createDataFrame([("text",)], "t string").select(V.hash_embedding(16)("t").alias("e")).first().e
+    assert np.array_equal(np.array(got, np.float32), v / np.linalg.norm(v))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 150), max_size=30), st.integers(60, 200), st.integers(0, 50))
 def test_packing_terminates_and_loses_nothing(sizes, budget, overlap):
@@ -124,6 +142,10 @@ def test_html():
     text = page_text(page)
     assert "RISK & more" in text and "1 2" in text and "a\nb c" in text and "var a" not in text and "no" not in text.split() and text.startswith("T")
     assert page_text(None) is None and page_text("") == ""
+    assert page_text("<ul><li>One<li>Two</ul>x").split() == ["One", "Two", "x"]
+    assert page_text("<table><tr><td>a<td>b<tr><td>c</table>d").split() == ["a", "b", "c", "d"] and page_text("<td>a<td>b<tr><td>c") == "a b c"
+    assert page_text("<table><tr><td><p>x<td>y<ul><li>q<li>r</ul><tr><th>z</table>").split() == ["x", "yq", "r", "z"]  # a block ends a line, it does not begin one
+    assert page_text("<p>a<p>b<div>c</div>d") == "a\nb\nc\nd" and page_text("a</p>b</div>c") == "a\nbc" and page_text("RIS<span>K</b></span>S") == "RISKS"
 
 
 def test_text_functions(spark):
@@ -176,6 +198,28 @@ def test_dense(spark):
         D.assert_dimension(vectors, 4).count()
 
 
+def test_dense_many_questions_and_components(spark):
+    """More questions than a batch holds, ties across tasks, and signs beyond the first 64."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-1, 2, size=(90, 5)).astype(float)
+    x[x.any(axis=1) == 0, 0] = 1.0
+    q = rng.normal(size=(5000, 5))
+    vectors = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(90)], "doc_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, [float(v) for v in q[k]]) for k in range(5000)], "query_id long, embedding array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(unit(q) @ unit(x).T, 6)
+    want = {(k, int(i), r + 1) for k in range(5000) for r, i in enumerate(np.lexsort((np.arange(90), -score[k]))[:3])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in D.dense_topk(vectors, asked, 3).collect()} == want
+    centres = D.centroids(vectors, 4)
+    found = D.ivf_topk(D.with_cells(vectors, centres), centres, asked, 3, 4)
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in found.collect()} == want
+    signs = rng.choice([-1.0, 1.0], size=(30, 100))
+    wide = spark.createDataFrame([(k, [float(v) for v in signs[k]]) for k in range(30)], "doc_id long, embedding array<double>").repartition(2)
+    differ = (signs[:, None] != signs[None]).sum(axis=2)
+    got = {(r.query_id, r.doc_id): r.distance for r in D.hamming_topk(wide, wide.withColumnRenamed("doc_id", "query_id"), 4).collect()}
+    assert got == {(a, int(b)): differ[a, b] for a in range(30) for b in np.lexsort((np.arange(30), differ[a]))[:4]}
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([(1, "1A", "x", True, ["p"], "2024-01-01"), (2, "7", "y", False, ["q", "r"], None)], "document_id long, section string, ticker string, is_narrative boolean, tags array<string>, filing_date string")
     rows = rows.withColumn("filing_date", F.col("filing_date").cast("timestamp"))
