@@ -1,10 +1,11 @@
 """Operator 4: language identification by multinomial naive Bayes over hashed character n-grams.
 
-The model is a matrix of log probabilities, one row for each n-gram bucket and one
-column for each language, broadcast to the executors (its size is set by `bits` and
-`max_languages`, not by the data).  It is learned from a bounded sample of labelled
-rows: about `per_language` documents of each language, chosen by a hash of the
-identifier.  Every text is scored whole, in numpy.
+The model is a matrix of log probabilities, one row for each language and one column for
+each n-gram bucket, broadcast to the executors.  It has at most MATRIX numbers: all
+languages that any labelled row names are learned, and should they be more than
+MATRIX / 2 ** bits, all share fewer buckets.  It is learned from a bounded sample of
+labelled rows: about `per_language` documents of each language, chosen by a hash of the
+identifier; their counts are summed in Spark.  Every text is scored whole, in numpy.
 
 Cases: a text that is null or has no letter gets `und` with score 0; rows with a null
 language teach nothing; without any labelled row every text gets `und` with score 0;
@@ -29,9 +30,10 @@ from .shared import arrow_rows, held_out
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Bounds of the sample that teaches the model.
+#: Bound of the sample that teaches the model.
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 200
+#: Bound of the broadcast matrix, in single-precision numbers: 256 MB.
+MATRIX = 1 << 26
 #: Characters that are scored at once.
 AT_ONCE = 1_000_000
 UNKNOWN = "und"
@@ -44,6 +46,7 @@ class LanguageModel:
     languages: list[str]
     prior: np.ndarray  # log probability of each language
     weights: np.ndarray  # languages x (2 ** bits + 1): log probability of each bucket; the last one weighs nothing
+    bits: int
 
 
 @cache
@@ -74,9 +77,9 @@ def buckets(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray,
     return found, ends, np.logical_or.reduceat(is_letter, ends[:-1]) if texts else np.zeros(0, bool)
 
 
-def sampled(rows: DataFrame, per_language: int, max_languages: int) -> tuple[list, DataFrame]:
-    """Counts of the most frequent languages, and about `per_language` rows of each, chosen by a hash of doc_id."""
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+def sampled(rows: DataFrame, per_language: int) -> tuple[list, DataFrame]:
+    """Counts of all languages, and about `per_language` rows of each, chosen by a hash of doc_id."""
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counted:
         return [], rows.limit(0)
     share = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, per_language / r.n))])
@@ -84,37 +87,41 @@ def sampled(rows: DataFrame, per_language: int, max_languages: int) -> tuple[lis
     return counted, rows.where(chance < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
 
-def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANGUAGE, matrix: int = MATRIX) -> LanguageModel:
     """Learn from the rows of docs (text, lang) for which `train` holds; sampled by a hash of doc_id."""
+    arrow_rows(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted, sample = sampled(rows, per_language, max_languages)
-    names = sorted(r.lang for r in counted)
+    counted, sample = sampled(rows, per_language)
+    names = [r.lang for r in counted]
     if not names:
-        return LanguageModel([], np.zeros(0), np.zeros((0, (1 << bits) + 1), np.float32))
-    sample = sample.select("lang", "text").repartition(8)
+        return LanguageModel([], np.zeros(0), np.zeros((0, (1 << bits) + 1), np.float32), bits)
+    bits = max(1, min(bits, int(np.log2(matrix / len(names)))))
+    number = {x: k for k, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), (1 << bits) + 1), np.int64)
         for batch in batches:
-            texts, own = batch.column(1).to_pylist(), [names.index(x) for x in batch.column(0).to_pylist()]
+            texts, own = batch.column(1).to_pylist(), [number[x] for x in batch.column(0).to_pylist()]
             for a, b in groups([len(t) for t in texts], AT_ONCE):
                 found, ends, _ = buckets(texts[a:b], bits)
-                for at in found:
-                    for k in range(b - a):
-                        total[own[a + k]] += np.bincount(at[ends[k] : ends[k + 1]], minlength=(1 << bits) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
-
-    counts = sum(np.frombuffer(r.counts, "<i8").reshape(len(names), -1) for r in sample.mapInArrow(count, "counts binary").collect()) + 0.5
-    counts[:, -1] = 0
-    weights = np.log(counts, where=counts > 0, out=np.zeros_like(counts)) - np.log(counts.sum(axis=1, keepdims=True))
-    weights[:, -1] = 0
-    seen = np.array([next(r.n for r in counted if r.lang == x) for x in names], float)
-    return LanguageModel(names, np.log(seen / seen.sum()), weights.astype(np.float32))
-
-
-def scores(texts: list[str], model: LanguageModel, bits: int, moments: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+                language = np.repeat(np.array(own[a:b], np.int64) << 32, np.diff(ends))
+                cells, n = np.unique(np.concatenate([(language | at)[at < 1 << bits] for at in found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+
+    cells = sample.select("lang", "text").repartition(8).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    at = cells.column("cell").to_numpy()
+    counts = np.zeros((len(names), (1 << bits) + 1), np.float32)
+    counts[at >> 32, at & 0xFFFFFFFF] = cells.column("n").to_numpy()
+    counts[:, :-1] += 0.5
+    total = counts.sum(axis=1, dtype=np.float64, keepdims=True)
+    np.log(counts, out=counts, where=counts > 0)
+    counts[:, :-1] -= np.log(total)
+    seen = np.array([r.n for r in counted], float)
+    return LanguageModel(names, np.log(seen / seen.sum()), counts, bits)
+
+
+def scores(texts: list[str], model: LanguageModel, moments: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The likeliest language of each text, its posterior probability, and with `moments` mean and variance of its n-grams' log probabilities."""
-    found, ends, has_letter = buckets(texts, bits)
+    found, ends, has_letter = buckets(texts, model.bits)
     total = np.empty((len(model.languages), len(texts)))
     for k, (row, prior) in enumerate(zip(model.weights, model.prior, strict=True)):
         gathered = row[found[0]]
@@ -127,14 +134,14 @@ def scores(texts: list[str], model: LanguageModel, bits: int, moments: bool = Fa
     n, first, second = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for at in found if moments else []:
         gathered = model.weights[own, at].astype(np.float64)
-        n += np.add.reduceat(at < 1 << bits, ends[:-1], dtype=np.float64)
+        n += np.add.reduceat(at < 1 << model.bits, ends[:-1], dtype=np.float64)
         first += np.add.reduceat(gathered, ends[:-1])
         second += np.add.reduceat(gathered**2, ends[:-1])
     mean = first / np.maximum(n, 1)
     return [model.languages[k] if x else UNKNOWN for k, x in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), mean, second / np.maximum(n, 1) - mean**2
 
 
-def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS, moments: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, moments: bool = False) -> DataFrame:
     """Columns _0, _1 and so on as those of docs, and _lang, _score, _mean and _variance (0 without `moments`), from the column text alone; no shuffle."""
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -148,7 +155,7 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BITS, moments: bo
             texts = [t or "" for t in batch.column(where).to_pylist()]
             predicted, score, mean, variance = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in groups([len(t) for t in texts], AT_ONCE) if own.languages else []:
-                predicted[a:b], score[a:b], mean[a:b], variance[a:b] = scores(texts[a:b], own, bits, moments)
+                predicted[a:b], score[a:b], mean[a:b], variance[a:b] = scores(texts[a:b], own, moments)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score), pa.array(mean), pa.array(variance)], [*names, "_lang", "_score", "_mean", "_variance"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
@@ -163,7 +170,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select(F.col("_0").alias("doc_id"), held_out(F.col("_0")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def least_mean(docs: DataFrame, model: LanguageModel, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> float:
+def least_mean(docs: DataFrame, model: LanguageModel, per_language: int = PER_LANGUAGE) -> float:
     """The mean log probability of n-grams below which a text is in no language of the model.
 
     Held-out texts that are recognised show what a language's texts have; SPREADS standard
@@ -172,7 +179,7 @@ def least_mean(docs: DataFrame, model: LanguageModel, per_language: int = PER_LA
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     for part in (rows.where(held_out(F.col("doc_id"))), rows):
-        _, sample = sampled(part, per_language, max_languages)
+        _, sample = sampled(part, per_language)
         found = predict(sample.select("text", "lang"), model, moments=True).where(F.col("_1") == F.col("_lang"))
         bounds = found.groupBy("_lang").agg((F.avg("_mean") - SPREADS * F.sqrt(F.avg("_variance"))).alias("bound")).agg(F.min("bound").alias("b")).first()
         if bounds.b is not None:

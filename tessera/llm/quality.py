@@ -7,7 +7,8 @@ coordinate descent.  A logistic curve, fitted on labelled rows that the model ha
 seen, turns its margin into a score from 0 to 1.
 
 It's fitted on a bounded sample of labelled rows: about SAMPLE documents, chosen by a
-hash of the identifier.  Every text is scored whole.
+hash of the identifier, of which the driver gets at most 2 ** BITS / 8 bytes each (49 MB
+in all).  Every text is scored whole.
 
 Cases: null and empty texts have no indicators and get the score of the intercept;
 labels that are null or without a document teach nothing; repeated labels of a document
@@ -18,7 +19,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,18 +99,30 @@ def indicators(texts: list[str], bits: int) -> Iterator[np.ndarray]:
         yield mark
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, dim: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss; the last weight is the intercept's."""
-    w, alpha, rng = np.zeros(dim + 1), np.zeros(len(rows)), np.random.default_rng(seed)
-    square = np.array([float(v @ v) + 1 for v in values])
+def packed(mark: np.ndarray) -> bytes:
+    """A vector of zeros and ones as bytes: the numbers of the ones, or, where these take more, all bits."""
+    ones = np.flatnonzero(mark).astype("<u4")
+    return b"n" + ones.tobytes() if 32 * len(ones) <= len(mark) else b"b" + np.packbits(mark > 0).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    """The numbers of the ones of packed()."""
+    return np.frombuffer(row, "<u4", offset=1) if row[:1] == b"n" else np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8, offset=1)))
+
+
+def descend(rows: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, dim: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """Dual coordinate descent for the hinge loss; rows gives a row's buckets and values; the last weight is the intercept's."""
+    w, alpha, rng = np.zeros(dim + 1), np.zeros(len(y)), np.random.default_rng(seed)
+    square = np.array([float(v @ v) + 1 for v in (rows(i)[1] for i in range(len(y)))])
     for _ in range(rounds):
         largest = 0.0
-        for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + w[dim]) - 1
+        for i in rng.permutation(len(y)):
+            at, values = rows(i)
+            gradient = y[i] * (w[at] @ values + w[dim]) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             if (step := new - alpha[i]) != 0:
                 alpha[i], largest = new, max(largest, abs(step))
-                w[rows[i]] += step * y[i] * values[i]
+                w[at] += step * y[i] * values
                 w[dim] += step * y[i]
         if largest < 1e-3:
             break
@@ -131,8 +144,8 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> QualityModel:
-    """Fit on sorted bucket numbers of each text and labels of 0 and 1; every fifth row only fits the curve."""
+def fit(rows: list[bytes], labels: np.ndarray, bits: int) -> QualityModel:
+    """Fit on the packed() indicators of each text and labels of 0 and 1; every fifth row only fits the curve."""
     dim, zero = 1 << bits, np.zeros(1 << bits, np.float32)
     if len(set(labels.tolist())) < 2 or min(np.bincount(labels)) < 5:
         return QualityModel(zero, zero, 0.0, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.5)
@@ -142,19 +155,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> QualityModel:
         fits[np.flatnonzero(y == side)[::5]] = False
     counts = [np.ones(dim), np.ones(dim)]
     for i in np.flatnonzero(fits):
-        counts[int(y[i] > 0)][rows[i]] += 1
+        counts[int(y[i] > 0)][unpacked(rows[i])] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
-    def scaled(row: np.ndarray) -> np.ndarray:
-        v = ratio[row]
-        return v / max(np.sqrt(v @ v), 1e-9)
+    def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = unpacked(rows[i])
+        v = ratio[at]
+        return at, v / max(np.sqrt(v @ v), 1e-9)
 
-    values = [scaled(r) for r in rows]
     use = np.flatnonzero(fits)
     cost = np.where(y > 0, len(use) / (2 * np.sum(y[use] > 0)), len(use) / (2 * np.sum(y[use] < 0)))
-    w = descend([rows[i] for i in use], [values[i] for i in use], y[use], cost[use], dim)
+    w = descend(lambda k: scaled(use[k]), y[use], cost[use], dim)
     rest = np.flatnonzero(~fits)
-    margin = np.array([w[rows[i]] @ values[i] + w[dim] for i in rest])
+    margin = np.array([w[at] @ values + w[dim] for at, values in map(scaled, rest)])
     slope, offset = logistic(margin, y[rest])
     return QualityModel(ratio.astype(np.float32), w[:dim].astype(np.float32), float(w[dim]), slope, offset)
 
@@ -173,11 +186,11 @@ def learn(docs: DataFrame, labels: DataFrame, train, bits: int = BITS, sample: i
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in groups([len(t) for t in texts], AT_ONCE):
-                found = [np.flatnonzero(mark).astype("<i4").tobytes() for mark in indicators(texts[a:b], bits)]
+                found = [packed(mark) for mark in indicators(texts[a:b], bits)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(found, pa.binary())], ["doc_id", "quality", "at"])
 
     got = sorted(rows.mapInArrow(run, "doc_id long, quality int, at binary").collect(), key=lambda r: (r.doc_id, r.quality, r["at"]))
-    return fit([np.frombuffer(r["at"], "<i4") for r in got], np.array([int(r.quality > 0) for r in got], int), bits)
+    return fit([bytes(r["at"]) for r in got], np.array([int(r.quality > 0) for r in got], int), bits)
 
 
 def predict(docs: DataFrame, model: QualityModel, bits: int = BITS) -> DataFrame:

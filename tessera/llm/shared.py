@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, new_path, shared_dir, written  # noqa: F401
+
 #: ASCII white space as the query contracts name it, for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,38 +19,6 @@ HOT_SHARE = 1000
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tessera/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -87,3 +55,30 @@ def skew_safe_join(rows: DataFrame, unique: DataFrame, key: str, count: str, tot
     a = flagged.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(heavy), key)
     b = flagged.where(F.col("_heavy").isNull()).drop("_heavy").join(light, key, how)
     return a.unionByName(b)
+
+
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns as _c0, _c1 and so on, and _file and _row, which name a row for good; tables that aren't read from files are written first."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(*[docs[c].alias(f"_c{k}") for k, c in enumerate(columns)], meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+    except AnalysisException:
+        return located(written(docs.select(*columns), "rows"), *columns)
+
+
+#: Words of 64 bits in the filter of sifted().
+FILTER_WORDS = 1 << 18
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """rows without most of those that have no partner in `wanted` by `columns`, before a join shuffles them.
+
+    The filter is a table of at most FILTER_WORDS numbers of 64 bits, so it can be
+    broadcast whatever the size of `wanted`; the more rows that has, the fewer go.
+    """
+    place = F.xxhash64(*columns)
+    word, bit = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), place.bitwiseAND(F.lit(63)).cast("int")
+    one = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    bits = one.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return found.where(F.call_function("getbit", F.col("_bits"), bit) == 1).drop("_word", "_bits")
