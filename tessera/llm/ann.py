@@ -16,11 +16,14 @@ lies within r sqrt(1 - s^2) of s (1 - a).
 The codebook is fitted on a bounded sample of about SAMPLE vectors, chosen by a hash of
 the identifier; every vector is indexed and scanned.  On vectors without clusters, such
 as those of the test tables, a partition tree would have to probe half of all leaves, so
-there is none: queries meet all rows in tiles of QUERY_ROWS by BLOCK_ROWS.
+there is none: queries meet all rows in tiles of QUERY_ROWS by BLOCK_ROWS.  The index
+stays where it lies; queries go to it by broadcast, QUERY_ROWS or so at a time, and each
+task keeps the k best rows for each query, so only these are shuffled.
 
 Cases: vectors that are null or zero, hold null or non-finite components, or differ in
 length from the most common length (of equally common ones the shortest) take no part,
-nor do rows without an identifier; equal scores go to the smaller vec_id; a candidate
+nor do rows without an identifier; vectors are scaled by a power of two before squares
+are taken, which changes no cosine and lets none overflow; equal scores go to the smaller vec_id; a candidate
 with the query's vec_id is the query's own row; rows that share a vec_id count once for
 each query, with their largest score, and ask once, with their smallest vector; empty
 tables give an empty result; other columns are not read.
@@ -28,6 +31,7 @@ tables give an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import new_path, written
 
 SAMPLE = 10_000
 CENTRES = 16
@@ -54,8 +58,13 @@ class Codebook:
     weight: float  # of the parallel part of the residual, over that of the rest
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component below 1: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def paired(x: np.ndarray) -> np.ndarray:
-    """Unit vectors as rows x pairs x 2; an odd last component is paired with 0."""
+    """Unit vectors as rows x pairs x 2; an odd last component is paired with 0.  The rows have been scaled()."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     if x.shape[1] % 2:
         x = np.pad(x, ((0, 0), (0, 1)))
@@ -149,19 +158,34 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
+def k_best(query_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, each identifier once, ties to the smaller vec_id."""
+    order = np.lexsort((-score, ids, query_ids))
+    query_ids, ids, score = query_ids[order], ids[order], score[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = (ids[1:] != ids[:-1]) | (query_ids[1:] != query_ids[:-1])
+    query_ids, ids, score = query_ids[first], ids[first], score[first]
+    order = np.lexsort((ids, -score, query_ids))
+    query_ids, ids, score = query_ids[order], ids[order], score[order]
+    within = np.arange(len(ids)) - np.searchsorted(query_ids, query_ids) < k
+    return query_ids[within], ids[within], score[within]
+
+
 def search_tile(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
     """The k nearest rows of a block for each query: query_id, vec_id and exact score, ties to the smaller vec_id.
 
-    Equal vectors are scanned once; of their rows the k + 1 smallest identifiers are
-    enough, as one may be the query's own.
+    Equal vectors are scanned once; of their rows the k + 1 smallest distinct identifiers
+    are enough, as one may be the query's own.  All vectors have been scaled().
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors, codes = ids[order], vectors[order], codes[order]
     _, first, group = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8)))[:, 0], return_index=True, return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    start = np.searchsorted(group[by_group], np.arange(len(first)))
-    place = np.arange(len(ids)) - start[group[by_group]]
-    by_group = by_group[place <= k]  # the smallest identifiers of each distinct vector
+    by_group = np.argsort(group, kind="stable")  # by identifier within a group
+    again = np.zeros(len(ids), bool)
+    again[1:] = (group[by_group[1:]] == group[by_group[:-1]]) & (ids[by_group[1:]] == ids[by_group[:-1]])
+    by_group = by_group[~again]
+    place = np.arange(len(by_group)) - np.searchsorted(group[by_group], group[by_group])
+    by_group = by_group[place <= k]
     start, end = np.searchsorted(group[by_group], np.arange(len(first))), np.searchsorted(group[by_group], np.arange(len(first)), "right")
     column = np.ascontiguousarray(codes[first].T)
     length, q_length = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
@@ -200,6 +224,20 @@ def search_tile(book: Codebook, ids: np.ndarray, vectors: np.ndarray, codes: np.
     return tuple(np.concatenate([f[c] for f in found]) for c in range(3)) if found else (ids[:0], ids[:0], length[:0])
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Arrow batches put together to tables of about `rows` rows."""
+    held, n = [], 0
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            held.append(batch.slice(start, rows))
+            n += len(held[-1])
+            if n >= rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
@@ -220,33 +258,43 @@ def nearest(vectors: DataFrame, query, k: int = NEAREST, rerank: int = RERANK, b
     chance = F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.where(chance < min(1.0, sample / total)).limit(2 * sample).collect() or rows.limit(1).collect()
     chosen = np.array([r.embedding for r in sorted(chosen, key=lambda r: (r.vec_id, r.embedding))])
-    shared, dim = spark.sparkContext.broadcast(fit(chosen)), chosen.shape[1]
+    shared, dim = spark.sparkContext.broadcast(fit(scaled(chosen))), chosen.shape[1]
 
     def encode(batches):
         for batch in batches:
-            codes = packed(assign(shared.value, paired(matrix(batch.column(1), dim)))) if len(batch) else np.zeros((0, 1), np.uint8)
+            codes = packed(assign(shared.value, paired(scaled(matrix(batch.column(1), dim))))) if len(batch) else np.zeros((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "code"])
 
     index = written(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "ann-index")
+    # a query whose row comes with several vectors asks with the smallest
     queries = written(index.where(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
-    asked = queries.count()
-    blocks, parts = -(-total // block_rows), max(1, -(-asked // query_rows))
-    spread = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))  # noqa: E731  of a table that is written: the same on each run
-    tile = F.col("_block") * parts + F.col("_part")
-    left = index.withColumn("_block", spread(blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(tile.alias("tile"), "vec_id", "embedding", "code")
-    right = queries.withColumn("_part", spread(parts)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(tile.alias("tile"), "vec_id", "embedding")
-
-    def search(base: pa.Table, wanted: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not len(base) or not len(wanted):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        codes = np.frombuffer(b"".join(base.column("code").to_pylist()), np.uint8).reshape(len(base), -1)
-        ids, q_ids = base.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
-        found = search_tile(shared.value, ids, matrix(base.column("embedding"), dim), codes, q_ids, matrix(wanted.column("embedding"), dim), k, rerank)
-        return pa.table([pa.array(f) for f in found], names=names)
-
-    tasks = min(blocks * parts, 4096)
-    found = left.repartition(tasks, "tile").groupBy("tile").cogroup(right.repartition(tasks, "tile").groupBy("tile")).applyInArrow(search, "query_id long, vec_id long, score double")
+    schema, names = "query_id long, vec_id long, score double", ["query_id", "vec_id", "score"]
+
+    def hits(part: DataFrame) -> tuple:
+        got = part.toArrow()
+        asked = spark.sparkContext.broadcast((got.column(0).to_numpy(), scaled(matrix(got.column(1), dim))))
+
+        def search(batches):
+            q_ids, wanted = asked.value
+            best = (q_ids[:0], q_ids[:0], np.zeros(0))
+            for base in blocks(batches, block_rows):
+                codes = np.frombuffer(b"".join(base.column(2).to_pylist()), np.uint8).reshape(len(base), -1)
+                found = search_tile(shared.value, base.column(0).to_numpy(), scaled(matrix(base.column(1), dim)), codes, q_ids, wanted, k, rerank)
+                best = k_best(*(np.concatenate(x) for x in zip(best, found, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names)
+
+        return index.mapInArrow(search, schema), asked
+
+    parts = max(1, -(-queries.count() // query_rows))
+    if parts == 1:
+        found = hits(queries)[0]
+    else:  # one after another, so that driver and executors hold one part of the queries
+        path = new_path(spark, "ann-hits")
+        for part in range(parts):
+            df, asked = hits(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part))
+            df.write.mode("append").parquet(path)
+            asked.destroy()
+        found = spark.read.schema(schema).parquet(path)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
