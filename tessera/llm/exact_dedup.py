@@ -9,11 +9,12 @@ and how many rows there are.  New batches of rows meet the state of all earlier
 
 A hit counts only when the full bytes agree: the texts of all groups of two rows or more
 are fetched by their locators and compared with the text that stays.  Should a digest
-ever stand for different texts, its rows are grouped by the texts themselves.
+ever stand for different texts, its rows are grouped by another, longer one.
 
 Plan: state is updated after partial sums, so a group of any size sends one row from
-each task; rows meet their group's state by skew_safe_join; the comparison is salted, so
-that a task gets about SALT_ROWS rows of one group.
+each task; rows meet their group's state by skew_safe_join; texts of groups of one are
+sifted out where they are read, the rest is compared by salt, so that a task gets about
+SALT_ROWS rows of one group.
 
 Cases: a null text counts as empty; empty texts are equal to one another; of rows equal
 in text and doc_id the first by locator stays; a null doc_id sorts last, and a row is
@@ -27,9 +28,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
-from .shared import SPACE, new_path, skew_safe_join, written
+from .shared import SPACE, located, new_path, sifted, skew_safe_join, written
 
 #: Rows of one group that a task compares, about.
 SALT_ROWS = 1000
@@ -52,13 +52,9 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the locator (file, row) of each row; tables that aren't read from files are written first."""
-    try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], meta["file_path"].alias("file"), meta["row_index"].alias("row"))
-    except AnalysisException:
-        return located(written(docs.select("doc_id", "text"), "dedup-rows"))
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the locator (file, row) of each row."""
+    return located(docs, "doc_id", "text").select(F.col("_c0").cast("long").alias("doc_id"), F.col("_c1").alias("text"), F.col("_file").alias("file"), F.col("_row").alias("row"))
 
 
 def contents(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -112,7 +108,7 @@ def latest(spark: SparkSession, out: str) -> DataFrame:
 def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """digest, doc_id, file, row, keep (struct) and group_size of every row, checked byte by byte."""
     spark = docs.sparkSession
-    rows = located(docs)
+    rows = rows_of(docs)
     content = contents(rows, digest)
     folder, out = new_path(spark, "dedup-contents"), new_path(spark, "dedup-state")
     content.write.parquet(folder)
@@ -127,7 +123,7 @@ def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     if wrong.isEmpty():
         return found
     bad = found.join(wrong, "digest", "left_semi").join(rows.drop("doc_id"), ["file", "row"])
-    by_text = bad.select(normal(F.col("text")).alias("same"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), "digest", "doc_id", "file", "row")
+    by_text = bad.select(F.unhex(F.sha2(normal(F.col("text")), 512)).alias("same"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), "digest", "doc_id", "file", "row")
     groups = by_text.groupBy("same").agg(F.min(stays()).alias("keep"), F.count("*").alias("group_size"))
     again = skew_safe_join(by_text, groups, "same", "group_size", total)
     return found.join(wrong, "digest", "left_anti").unionByName(again.select(found.columns))
@@ -138,7 +134,7 @@ def differing(rows: DataFrame, found: DataFrame) -> DataFrame:
     many = found.where("group_size > 1").withColumn("first", (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row")))
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     many = many.select("file", "row", "digest", "first", salts.alias("salts"), F.pmod(F.hash("file", "row"), salts).alias("salt"))
-    texts = rows.select("file", "row", "text").join(many.hint("shuffle_hash"), ["file", "row"])
+    texts = sifted(rows.select("file", "row", "text"), many, ["file", "row"]).join(many, ["file", "row"])
     texts = texts.withColumn("same", normal(F.col("text"))).drop("text", "file", "row")
     firsts = texts.where("first").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("same").alias("kept"))
     others = texts.where("not first").select("digest", "salt", "same")
