@@ -7,15 +7,20 @@ shuffled order (by a digest of the identifier), up to three times over.  A docum
 virtual finish time is the source's words up to and with it, divided by the source's
 target; all offers are ranked by finish time and taken until the total is used up.
 
-Plan: a source's running sum is a sum within a bucket of the shuffle order plus the sums
-of the buckets before, so no task gets a whole source.  Finish times fall into equal
-bins, which hold about equal numbers of words whatever the sources' sizes; only the bin
-in which the total runs out is ranked row by row.
+Plan: rows are reduced to a locator, source, size and order, written once; all that
+follows works on these.  Each source's order is cut into cells of about BUCKET_ROWS rows;
+a running sum is a sum within a cell plus the sums of the cells before, so no task gets a
+whole source.  Rows that share a doc_id, or have none, share a place in the order: where
+they are many they are cut further by their locators.  Finish times fall into equal bins,
+which hold about equal numbers of words whatever the sources' sizes; the bin in which the
+total runs out is divided again until few offers are left, and only those are ranked one
+by one.  What one task holds at most are the sources, a row each, and the cells of one
+source.
 
 Cases: a null text has size 0; documents of size 0, and sources of them, are taken 0
 times; all rows with a null source are one source; equal finish times go by source;
-equal rows are offered one after another; an empty table gives an empty result; other
-columns pass through `carry` or are not read.
+rows that share a doc_id come in the order of a hash of their place in the files; an
+empty table gives an empty result; other columns pass through or are not read.
 """
 
 from __future__ import annotations
@@ -23,23 +28,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import HOT_SHARE, WORD, located, skew_safe_join, written
 
 #: A source is offered so many times at most.
 REPEATS = 3
 WEIGHTS = 3
 BINS = 8192
-BUCKET_ROWS = 20_000
+#: Rows in a cell of a source's order, about.
+BUCKET_ROWS = 1000
+#: Offers that are ranked one by one, about.
+RANKED = 100_000
 
 
-def sized(docs: DataFrame, carry: list[str], buckets: int) -> DataFrame:
-    """Carried columns as _c0, _c1 and so on, and _source (a key that sorts null last), _size, _order and _bucket."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    order = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    source = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    columns = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)]
-    found = docs.select(*columns, source.alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), order.alias("_order"))
-    return found.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
+def sized(rows: DataFrame) -> DataFrame:
+    """From located rows of doc_id, text and source: _file and _row (a row's locator), _id (doc_id), _source (a key that sorts null last), _size, _order (shuffled place) and _next (the place of rows equal in that)."""
+    text = F.coalesce(F.col("_c1"), F.lit(""))
+    order = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("_c0").cast("string"), F.lit(""))).cast("binary"))
+    source = F.coalesce(F.concat(F.lit("0"), F.col("_c2").cast("string")), F.lit("1"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    found = rows.select("_file", "_row", F.col("_c0").cast("long").alias("_id"), source.alias("_source"), size.alias("_size"), order.alias("_order"))
+    return written(found.withColumn("_next", F.xxhash64("_order", F.regexp_extract("_file", "[^/]*$", 0), "_row")), "mix-sized")
+
+
+def share(number, parts):
+    """The part, from 0 on, of a whole number from 0 to 2 ** 32 - 1 when that range is cut into equal parts."""
+    return F.floor(number * parts / F.lit(float(1 << 32))).cast("long")
+
+
+def celled(rows: DataFrame, counts: DataFrame, total: int, cell_rows: int) -> DataFrame:
+    """Adds _cell, an array that sorts as the rows of a source do: no cell has much more than cell_rows rows.
+
+    Places are spread evenly, so a source's order is cut into equal ranges of them.  Where
+    a range has far more rows than that, rows share places: at most HOT_SHARE places
+    hold over 1/HOT_SHARE of all rows, and each of these is cut by _next.
+    """
+    parts = counts.select("_source", "_rows", F.ceil(F.col("_rows") / cell_rows).alias("_parts"))
+    rows = skew_safe_join(rows, parts, "_source", "_rows", total)
+    rows = rows.withColumn("_range", share(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_parts")))
+    full = rows.groupBy("_source", "_range").count().where(F.col("count") > 4 * cell_rows).select("_source", "_range")
+    most = max(total // HOT_SHARE, 4 * cell_rows)
+    shared = rows.join(full, ["_source", "_range"], "left_semi").groupBy("_order").count().where(F.col("count") > most).select("_order", "count").collect()
+    if not shared:
+        return rows.withColumn("_cell", F.array("_range")).drop("_range", "_parts", "_rows")
+    places = F.array(*[F.lit(r["_order"]) for r in sorted(shared)])
+    many = F.create_map(*[F.lit(x) for r in shared for x in (r["_order"], -(-r["count"] // cell_rows))])[F.col("_order")]
+    before = F.size(F.filter(places, lambda p: p < F.col("_order"))).cast("long")
+    low = share(F.shiftrightunsigned("_next", 32), many)
+    cell = F.when(many.isNull(), F.array("_range", 2 * before, F.lit(0).cast("long"))).otherwise(F.array(F.col("_range"), 2 * before + 1, low))
+    return rows.withColumn("_cell", cell).drop("_range", "_parts", "_rows")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -62,20 +98,19 @@ def targets(sources: DataFrame) -> DataFrame:
     return levelled.select("_source", "source_size", "_rank", target.alias("target"))
 
 
-def placed(docs: DataFrame, carry: list[str], rows: int) -> DataFrame:
-    """Every row with its source's figures and _sum: the source's words up to and with it."""
-    buckets = 1
-    while buckets < 65536 and buckets * BUCKET_ROWS < rows:
-        buckets *= 2
-    own = sized(docs, carry, buckets)
-    cells = written(own.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_cell")), "mix-cells")
-    sources = targets(cells.groupBy("_source").agg(F.sum("_cell").alias("source_size")))
-    before = F.sum("_cell").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_cell")
-    cells = cells.withColumn("_before", before).join(sources, "_source").drop("_cell")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    running = own.withColumn("_inside", F.sum("_size").over(inside))
-    found = running.join(cells, ["_source", "_bucket"]).withColumn("_sum", F.col("_before") + F.col("_inside"))
-    return written(found.drop("_order", "_inside", "_before", "_bucket"), "mix-placed")
+def placed(located_rows: DataFrame, cell_rows: int | None = None) -> DataFrame:
+    """Every row of sized() with its source's figures and _sum: the source's words up to and with it."""
+    own = sized(located_rows)
+    counts = own.groupBy("_source").agg(F.count("*").alias("_rows"))
+    rows = celled(own, counts, own.count(), cell_rows or BUCKET_ROWS)
+    cells = written(rows.groupBy("_source", "_cell").agg(F.sum("_size").alias("_words")), "mix-cells")
+    sources = targets(cells.groupBy("_source").agg(F.sum("_words").alias("source_size")))
+    before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_cell")) - F.col("_words")
+    cells = cells.withColumn("_before", before).join(sources, "_source").drop("_words")
+    inside = Window.partitionBy("_source", "_cell").orderBy("_order", "_next").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("_inside", F.sum("_size").over(inside))
+    found = running.join(cells, ["_source", "_cell"]).withColumn("_sum", F.col("_before") + F.col("_inside"))
+    return written(found.select("_file", "_row", "_id", "_size", "source_size", "target", "_rank", "_sum"), "mix-placed")
 
 
 def finish(repeat: int):
@@ -83,46 +118,58 @@ def finish(repeat: int):
     return F.when((F.col("_size") > 0) & (F.col("target") > 0), (repeat * F.col("source_size") + F.col("_sum")).cast("double") / F.col("target"))
 
 
-def bin_of(time):
-    return F.least(F.floor(time * BINS), F.lit(4 * BINS)).cast("int")
+def bin_of(time, low: float = 0.0, width: float = 1.0, last: int = 4 * BINS):
+    """The bin of a time: BINS equal ones from `low` on within `width`, and the last for all after."""
+    return F.greatest(F.lit(0), F.least(F.floor((time - F.lit(low)) / F.lit(width) * BINS), F.lit(last))).cast("int")
 
 
-def mix(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Every row: carried columns as _c0, _c1 and so on, _size, source_size, target, and _times: how often the mix takes it."""
-    rows = placed(docs, carry, docs.count())
+def mix(located_rows: DataFrame, cell_rows: int | None = None) -> DataFrame:
+    """Every row of doc_id, text and source: _file and _row (its locator), _id, _size, source_size, target, and _times: how often the mix takes it."""
+    rows = placed(located_rows, cell_rows)
     offers = rows.select("_size", "_rank", F.explode(F.array(*[finish(k) for k in range(REPEATS)])).alias("_time")).where("_time is not null")
-    offers = offers.withColumn("_bin", bin_of(F.col("_time")))
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    bins = offers.groupBy("_bin").agg(F.sum("_size").alias("_words"))  # at most 4 * BINS + 1 rows
-    bins = bins.withColumn("_until", F.sum("_words").over(Window.orderBy("_bin")))
-    cut = bins.where(F.col("_until") > total).orderBy("_bin").limit(1).select("_bin", (F.col("_until") - F.col("_words")).alias("_used")).first()
-    if cut is None:  # every offer fits
+    used, low, width, last, cuts = 0, 0.0, 1.0, 4 * BINS, []
+    while True:  # the bin in which the total runs out, and within it again, until few offers are left
+        binned = offers.withColumn("_bin", bin_of(F.col("_time"), low, width, last))
+        bins = binned.groupBy("_bin").agg(F.sum("_size").alias("_words"), F.count("*").alias("_n")).withColumn("_until", F.sum("_words").over(Window.orderBy("_bin")) + used)  # at most 4 * BINS + 1 rows
+        cut = bins.where(F.col("_until") > total).orderBy("_bin").limit(1).first()
+        if cut is None:
+            break
+        cuts.append((low, width, last, cut["_bin"]))
+        used = cut["_until"] - cut["_words"]
+        offers = binned.where(F.col("_bin") == cut["_bin"]).drop("_bin")
+        low, width, last = low + cut["_bin"] * width / BINS, width / BINS, BINS - 1
+        if cut["_n"] <= RANKED or len(cuts) == 3:  # three times is as fine as the times themselves
+            break
+    if not cuts:  # every offer fits
         taken = [finish(k).isNotNull() for k in range(REPEATS)]
     else:
-        ranked = offers.where(F.col("_bin") == cut["_bin"]).withColumn("_until", F.sum("_size").over(Window.orderBy("_time", "_rank").rowsBetween(Window.unboundedPreceding, 0)))
-        last = ranked.where(F.col("_until") + cut["_used"] <= total).agg(F.max(F.struct("_time", "_rank")).alias("last")).first()["last"]
+        ranked = offers.withColumn("_until", F.sum("_size").over(Window.orderBy("_time", "_rank").rowsBetween(Window.unboundedPreceding, 0)))
+        end = ranked.where(F.col("_until") + used <= total).agg(F.max(F.struct("_time", "_rank")).alias("end")).first()["end"]
         taken = []
         for k in range(REPEATS):
             time = finish(k)
-            fits = bin_of(time) < cut["_bin"]
-            if last is not None:
-                edge = (time < last["_time"]) | (time == last["_time"]) & (F.col("_rank") <= last["_rank"])
-                fits = fits | (bin_of(time) == cut["_bin"]) & edge
-            taken.append(F.coalesce(fits, F.lit(False)))
+            fits = F.lit(False) if end is None else (time < end["_time"]) | (time == end["_time"]) & (F.col("_rank") <= end["_rank"])
+            for low, width, last, b in reversed(cuts):
+                own = bin_of(time, low, width, last)
+                fits = (own < b) | (own == b) & fits
+            taken.append(F.coalesce(time.isNotNull() & fits, F.lit(False)))
     times = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
-    return rows.select(*[f"_c{k}" for k in range(len(carry))], "_size", "source_size", "target", times.alias("_times"))
+    return rows.select("_file", "_row", "_id", "_size", "source_size", "target", times.alias("_times"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words taken, repeats counted) of every row."""
-    docs = docs.select(docs["doc_id"].cast("long"), docs["text"], docs["source"])
-    return mix(docs, ["doc_id"]).select(F.col("_c0").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
+    rows = mix(located(docs, "doc_id", "text", "source"))
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def taken_rows(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it's taken, all columns as they are."""
-    found = mix(docs, docs.columns).where("_times > 0")
-    found = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    """The mix itself: each row as often as it's taken, all columns as they are; texts are shuffled once, to meet their numbers."""
+    full = located(docs, *docs.columns)
+    own = [F.col(f"_c{docs.columns.index(c)}").alias(f"_c{k}") for k, c in enumerate(("doc_id", "text", "source"))]
+    times = mix(full.select(*own, "_file", "_row")).where("_times > 0").select("_file", "_row", "_times")
+    found = full.join(times, ["_file", "_row"]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return found.select(*[f"_c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 

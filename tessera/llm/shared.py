@@ -57,13 +57,27 @@ def skew_safe_join(rows: DataFrame, unique: DataFrame, key: str, count: str, tot
     return a.unionByName(b)
 
 
+def reads_files(docs: DataFrame) -> bool:
+    """Whether docs is files' rows, at most filtered and with columns of each row, so that a file and row number name a row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns as _c0, _c1 and so on, and _file and _row, which name a row for good; tables that aren't read from files are written first."""
+    every = [f"_c{k}" for k in range(len(docs.columns))]
+    at = [every[docs.columns.index(c)] for c in columns]
+    own = docs.toDF(*every)
     try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(*[docs[c].alias(f"_c{k}") for k, c in enumerate(columns)], meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
-    except AnalysisException:
-        return located(written(docs.select(*columns), "rows"), *columns)
+        if reads_files(own):
+            meta = own.metadataColumn("_metadata")
+            return own.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(at)], meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+    except AnalysisException:  # a format without row numbers
+        pass
+    rows = written(own.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(at)]), "rows")
+    return located(rows, *rows.columns)
 
 
 #: Words of 64 bits in the filter of sifted().
