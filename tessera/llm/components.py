@@ -15,7 +15,7 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and label (the smallest node of its component), for each node of an undirected edge list u, v of numbers.
+    """node and label (the smallest node of its component), for each node of an undirected edge list u, v of numbers or texts.
 
     A round links every larger neighbour of a node to its smallest one, then every
     smaller neighbour; components end as stars after a number of rounds that grows with

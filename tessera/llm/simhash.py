@@ -29,20 +29,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .gray_index import DISTANCE, Index, majority
+from .near_copies import one_of_each  # noqa: F401
 from .shared import arrow_rows, skew_safe_join, written
 
 SHINGLE = 3
-DISTANCE = 3
-#: Children of an index node.
-FANOUT = 8
 #: A larger group is divided by further bits; also the rows of a task, about.
 GROUP_ROWS = 400_000
-#: Query and node pairs that are held at once.
-FRONTIER = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -50,9 +47,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int.from_bytes(np.packbits(np.add.reduce(bits, axis=0, dtype=np.uint32) * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -67,60 +62,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each code in the Gray order."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(shift))
-    return x
-
-
-class Index:
-    """Levels of nodes over fingerprints of many groups, sorted by group and Gray rank."""
-
-    def __init__(self, group: np.ndarray, fp: np.ndarray):
-        order = np.lexsort((gray_rank(fp), group))
-        self.group, self.fp = group[order], fp[order]
-        start = np.flatnonzero(np.diff(self.group, prepend=self.group[:1] - 1))
-        self.levels = [(self.fp, np.full(len(fp), ~np.uint64(0)), np.arange(len(fp)), np.arange(1, len(fp) + 1))]  # pattern, mask, entries below: first and end
-        above = []
-        while True:
-            pattern, mask, first, end = self.levels[-1]
-            sizes = np.diff(np.append(start, len(pattern)))
-            if len(above) and sizes.max(initial=1) <= 1:
-                break
-            rank = np.arange(len(pattern)) - np.repeat(start, sizes)
-            child = np.flatnonzero(rank % FANOUT == 0)  # first child of each new node
-            every, some = np.bitwise_and.reduceat(pattern | ~mask, child), np.bitwise_or.reduceat(pattern & mask, child)
-            shared = ~(every ^ some) & np.bitwise_and.reduceat(mask, child)
-            last = np.append(child[1:], len(pattern))
-            above.append((child, last))
-            self.levels.append((every & shared, shared, first[child], end[last - 1]))
-            start = np.searchsorted(child, start)
-        self.above = above
-        for k in range(len(self.levels) - 1):  # what the parent has factored out counts there
-            pattern, mask, first, end = self.levels[k]
-            parent = np.repeat(np.arange(len(above[k][0])), above[k][1] - above[k][0])
-            self.levels[k] = (pattern, mask & ~self.levels[k + 1][1][parent], first, end)
-        self.root = np.repeat(np.arange(len(self.levels[-1][0])), self.levels[-1][3] - self.levels[-1][2])
-
-    def pairs(self, limit: int = DISTANCE, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Linked entries i < j, in blocks."""
-        size = (self.levels[-1][3] - self.levels[-1][2])[self.root]
-        block = np.cumsum(size) // frontier
-        for q in np.split(np.arange(len(self.fp)), np.flatnonzero(np.diff(block)) + 1):
-            node, seen = self.root[q], np.zeros(len(q), np.uint8)
-            for k in range(len(self.levels) - 2, -1, -1):
-                first, last = self.above[k][0][node], self.above[k][1][node]
-                n = last - first
-                q, seen = np.repeat(q, n), np.repeat(seen, n)
-                node = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                pattern, mask, _, end = self.levels[k]
-                seen = seen + np.bitwise_count((self.fp[q] ^ pattern[node]) & mask[node])
-                keep = (seen <= limit) & (end[node] > q + 1)
-                q, node, seen = q[keep], node[keep], seen[keep]
-            yield q, node
-
-
 def stars(group: np.ndarray, fp: np.ndarray, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect exactly what the links within the groups connect: one for each linked entry but one."""
     sizes = np.unique(group, return_inverse=True, return_counts=True)
@@ -203,19 +144,3 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     found = simhash_components(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that stay: of each component the document with the smallest doc_id.
-
-    A doc_id goes if any row of it is in a component with a smaller one; of several rows
-    of a doc_id that stays, the first by a hash of the text does.  Rows without a doc_id
-    have no place in that order and stay.
-    """
-    found = simhash_components(docs)
-    gone = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    names = [f"_c{k}" for k in range(len(docs.columns))]
-    own = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index("doc_id")]).cast("long"))
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(names[docs.columns.index("text")])))
-    stay = own.where("_id is not null").join(gone, F.col("_id") == F.col("_gone"), "left_anti").withColumn("_k", first).where("_k = 1").drop("_k")
-    return stay.unionByName(own.where("_id is null")).drop("_id").toDF(*docs.columns)
