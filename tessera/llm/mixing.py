@@ -19,8 +19,7 @@ source.
 
 Cases: a null text has size 0; documents of size 0, and sources of them, are taken 0
 times; all rows with a null source are one source; equal finish times go by source;
-rows that share a doc_id come in the order of a hash of their place in the files; an
-empty table gives an empty result; other columns pass through or are not read.
+rows that share a doc_id come in the order of a hash of their texts; an empty table gives an empty result; other columns pass through or are not read.
 """
 
 from __future__ import annotations
@@ -41,13 +40,13 @@ RANKED = 100_000
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """From located rows of doc_id, text and source: _file and _row (a row's locator), _id (doc_id), _source (a key that sorts null last), _size, _order (shuffled place) and _next (the place of rows equal in that)."""
+    """From located rows of doc_id, text and source: _file and _row (a row's locator), _id (doc_id), _source (a key that sorts null last), _size, _order (shuffled place), _next and _last (the places of rows equal in that, and of rows equal in text too)."""
     text = F.coalesce(F.col("_c1"), F.lit(""))
     order = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("_c0").cast("string"), F.lit(""))).cast("binary"))
     source = F.coalesce(F.concat(F.lit("0"), F.col("_c2").cast("string")), F.lit("1"))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    found = rows.select("_file", "_row", F.col("_c0").cast("long").alias("_id"), source.alias("_source"), size.alias("_size"), order.alias("_order"))
-    return written(found.withColumn("_next", F.xxhash64("_order", F.regexp_extract("_file", "[^/]*$", 0), "_row")), "mix-sized")
+    found = rows.select("_file", "_row", F.col("_c0").cast("long").alias("_id"), source.alias("_source"), size.alias("_size"), order.alias("_order"), F.xxhash64(text).alias("_next"), F.xxhash64("_file", "_row").alias("_last"))
+    return written(found, "mix-sized")
 
 
 def share(number, parts):
@@ -60,22 +59,27 @@ def celled(rows: DataFrame, counts: DataFrame, total: int, cell_rows: int) -> Da
 
     Places are spread evenly, so a source's order is cut into equal ranges of them.  Where
     a range has far more rows than that, rows share places: at most HOT_SHARE places
-    hold over 1/HOT_SHARE of all rows, and each of these is cut by _next.
+    hold over 1/HOT_SHARE of all rows, and each of these is cut by text; and where rows
+    are equal in text too, so that any order of them is the same, by locator.
     """
     parts = counts.select("_source", "_rows", F.ceil(F.col("_rows") / cell_rows).alias("_parts"))
     rows = skew_safe_join(rows, parts, "_source", "_rows", total)
     rows = rows.withColumn("_range", share(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_parts")))
+    rows = rows.drop("_parts", "_rows").withColumn("_cell", F.array("_range"))
     full = rows.groupBy("_source", "_range").count().where(F.col("count") > 4 * cell_rows).select("_source", "_range")
     most = max(total // HOT_SHARE, 4 * cell_rows)
-    shared = rows.join(full, ["_source", "_range"], "left_semi").groupBy("_order").count().where(F.col("count") > most).select("_order", "count").collect()
-    if not shared:
-        return rows.withColumn("_cell", F.array("_range")).drop("_range", "_parts", "_rows")
-    places = F.array(*[F.lit(r["_order"]) for r in sorted(shared)])
-    many = F.create_map(*[F.lit(x) for r in shared for x in (r["_order"], -(-r["count"] // cell_rows))])[F.col("_order")]
-    before = F.size(F.filter(places, lambda p: p < F.col("_order"))).cast("long")
-    low = share(F.shiftrightunsigned("_next", 32), many)
-    cell = F.when(many.isNull(), F.array("_range", 2 * before, F.lit(0).cast("long"))).otherwise(F.array(F.col("_range"), 2 * before + 1, low))
-    return rows.withColumn("_cell", cell).drop("_range", "_parts", "_rows")
+    some = rows.join(full, ["_source", "_range"], "left_semi")
+    for place, rest in (("_order", "_next"), ("_next", "_last")):
+        shared = some.groupBy(place).count().where(F.col("count") > most).collect()
+        if not shared:
+            break
+        own, places = F.col(place), F.array(*[F.lit(r[place]) for r in sorted(shared)])
+        many = F.create_map(*[F.lit(x) for r in shared for x in (r[place], -(-r["count"] // cell_rows))])[own]
+        before = 2 * F.size(F.filter(places, lambda p: p < own)).cast("long")  # noqa: B023
+        low = share(F.shiftrightunsigned(rest, 32), many)
+        finer = F.when(many.isNull(), F.array(before, F.lit(0).cast("long"))).otherwise(F.array(before + 1, low))
+        rows, some = (df.withColumn("_cell", F.concat("_cell", finer)) for df in (rows, some.where(many.isNotNull())))
+    return rows.drop("_range")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def placed(located_rows: DataFrame, cell_rows: int | None = None) -> DataFrame:
     sources = targets(cells.groupBy("_source").agg(F.sum("_words").alias("source_size")))
     before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_cell")) - F.col("_words")
     cells = cells.withColumn("_before", before).join(sources, "_source").drop("_words")
-    inside = Window.partitionBy("_source", "_cell").orderBy("_order", "_next").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_cell").orderBy("_order", "_next", "_last").rowsBetween(Window.unboundedPreceding, 0)
     running = rows.withColumn("_inside", F.sum("_size").over(inside))
     found = running.join(cells, ["_source", "_cell"]).withColumn("_sum", F.col("_before") + F.col("_inside"))
     return written(found.select("_file", "_row", "_id", "_size", "source_size", "target", "_rank", "_sum"), "mix-placed")

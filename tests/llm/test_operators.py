@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tessera.llm import ann, bpe_codec, exact_dedup, language_id, license_scan, line_dedup, mixing, quality, simhash, token_counts
+from tessera.llm import ann, bpe_codec, near_copies, shared, exact_dedup, language_id, license_scan, line_dedup, mixing, quality, simhash, token_counts
 from tessera.llm.bpe import Merges
 from tessera.llm.lexicon import Lexicon, compile_words
 
@@ -112,6 +112,30 @@ def test_ann(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.fiftieths(few).collect()] == [(0, 1, 1)]
 
 
+def test_ann_repeats_and_extremes(spark):
+    """Many copies of one row, ties, and vectors whose squares overflow or vanish."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 6))
+    near = x[5] + 1e-3 * rng.normal(size=(60, 6))
+    rows = [(1, x[5])] * 20 + [(k, x[5]) for k in (2, 3, 4)] + [(100 + k, x[k]) for k in range(120)] + [(300 + k, near[k]) for k in range(60)]
+    rows += [(1, x[9]), (400, x[7] * 1e-200), (450, x[7] * 1e200), (460, x[8] * 5e-310)]
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in rows], "vec_id long, embedding array<double>").repartition(4)
+    found = defaultdict(list)
+    for r in sorted(ann.nearest(vectors, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=2, rerank=4).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append((r.vec_id, r.score))
+    unit = lambda v: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max())
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        own = unit(next(r for i, r in rows if i == q))
+        best = {}
+        for i, r in rows:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), float(own @ unit(r)))
+        ids, scores = zip(*found[q], strict=True)
+        assert len(set(ids)) == 5 and all(abs(best[i] - s) < 1e-12 for i, s in found[q])
+        assert np.allclose(scores, sorted(best.values(), reverse=True)[:5], rtol=0, atol=1e-12)
+        assert all(a < b for (a, s), (b, t) in zip(found[q], found[q][1:], strict=False) if s == t)
+
+
 def prose(rng, letters, n=40):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
 
@@ -129,6 +153,67 @@ def test_language_id(spark, odd, empty):
     assert language_id.language_id(odd).count() == odd.count() and language_id.language_id(empty).count() == 0
 
 
+def scalar_bucket(gram, bits):
+    """The bucket of an n-gram by whole numbers, apart from numpy."""
+    wrap = 0xFFFFFFFF
+    x = (ord(gram[0]) + 0x27D4EB2F * len(gram)) & wrap
+    for c in gram[1:]:
+        x = (x * 0x9E3779B1 + ord(c)) & wrap
+    x = x * 0xC2B2AE35 & wrap
+    x ^= x >> 15
+    return (x * 0x85EBCA6B & wrap) >> (32 - bits)
+
+
+def brute_language(rows, bits=16):
+    """Multinomial naive Bayes by dictionaries: doc_id to language and probability."""
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        found = [t[k] for k in range(len(t)) if t[k] != " "]
+        found += [t[k : k + n] for n in (2, 3) for k in range(len(t) - n + 1) if t[k : k + 2] != "  "]
+        return [scalar_bucket(g, bits) for g in found]
+
+    from zlib import crc32
+
+    train = [(t, g) for i, t, g, _ in rows if crc32(str(i).encode()) % 5 and t is not None and g is not None]
+    names = sorted({g for _, g in train})
+    counts, prior = {g: Counter() for g in names}, Counter(g for _, g in train)
+    for t, g in train:
+        counts[g].update(grams(t))
+    total = {g: sum(counts[g].values()) + 0.5 * 2**bits for g in names}
+    out = {}
+    for i, t, *_ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        n = Counter(grams(t))
+        score = [np.log(prior[g] / len(train)) + sum(c * np.log((counts[g][b] + 0.5) / total[g]) for b, c in n.items()) for g in names]
+        best = int(np.argmax(score))
+        out[i] = (names[best], 1 / float(np.exp(np.array(score) - score[best]).sum()))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    rng = random.Random(13)
+    letters = ["abcdefgh", "defghijk", "éñabcd", "ШЩабвг"]
+    rows = [(k, prose(rng, letters[k % 4], rng.randrange(1, 12)), f"g{k % 4}", "s") for k in range(160)]
+    rows += [(500 + k, t, None, "s") for k, t in enumerate(ODD[:12] + ["İstanbul ǅ", "a1b2", "-"])]
+    want, size = brute_language(rows), {i: len(t or "") for i, t, *_ in rows}
+    for r in language_id.language_id(table(spark, rows)).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4 + 1e-6 * size[r.doc_id], r  # weights are in single precision
+
+
+def test_language_id_of_many_languages(spark):
+    """No language is left out, and the matrix keeps its bound by fewer buckets."""
+    rng = random.Random(14)
+    words = {f"g{k:03}": [prose(rng, "abcdefghijklmnop", 3) for _ in range(3)] for k in range(300)}
+    rows = [(6 * k + j, " ".join(rng.choice(w) for _ in range(6)), g, "s") for k, (g, w) in enumerate(words.items()) for j in range(6)]
+    got = language_id.language_id(table(spark, rows)).collect()
+    right = {i: g for i, _, g, _ in rows}
+    assert len({r.lang_pred for r in got}) >= 295 and sum(r.lang_pred == right[r.doc_id] for r in got) > 0.9 * len(got)
+    model = language_id.learn(table(spark, rows), F.lit(True), matrix=1 << 18)
+    assert len(model.languages) == 300 and model.weights.size < 1 << 18 and np.allclose(np.exp(model.weights[:, :-1]).sum(axis=1), 1, atol=1e-3)
+
+
 def test_token_counts(spark, odd, empty):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
@@ -195,6 +280,62 @@ def test_simhash(spark, odd, empty, group_rows):
         assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id >= 1000) == {1000: 1}
 
 
+def brute_near(rows, similarity=0.8):
+    """Groups of row numbers that five-word similarity connects, by all pairs."""
+    sets = []
+    for _, t in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            s, t = sets[a], sets[b]
+            if label[a] != label[b] and (s == t or len(s & t) >= similarity * len(s | t) > 0):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [1000, 6])
+def test_near_copies(spark, odd, empty, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "PIVOTS", min(block, near_copies.PIVOTS))
+    rng = random.Random(15)
+    rows = list(enumerate(ODD)) + [(900, "Same  Words here"), (901, "same words HERE"), (None, "same words here"), (902, None)]
+    for k in range(12):
+        words = prose(rng, "abcdefgh", 120).split()
+        for c in range(8):
+            rows.append((100 + 8 * k + c, " ".join(words)))
+            words[rng.randrange(len(words))] += "q"
+            if c % 3 == 2:
+                words[rng.randrange(len(words))] = "z"
+    rows += [(100, "another text under the same number " + prose(rng, "xyz", 30))]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    full = shared.located(docs, "text", "doc_id")
+    got = near_copies.near_copy_classes(full.select("_file", "_row", "_c0"), block=block)
+    by_row = defaultdict(set)
+    found = full.join(got, ["_file", "_row"]).select(F.col("_c1").alias("i"), F.col("_c0").alias("t"), "label").collect()
+    for r in found:
+        by_row[r.label].add((r.i, r.t))
+    label, want = brute_near(rows), defaultdict(set)
+    for k, r in enumerate(rows):
+        want[label[k]].add(r)
+    assert len(found) == len(rows) and {frozenset(x) for x in by_row.values()} == {frozenset(x) for x in want.values()}
+    if block > 6:
+        kept = near_copies.one_of_each(docs)
+        first = [min(x, key=lambda r: (r[0] is None, r[0] or 0)) for x in want.values()]
+        assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(first)
+        assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_near_copies_in_hot_groups(spark):
+    """Ninety in a hundred texts are near copies in one chain of blocks; the rest stays apart."""
+    rng = random.Random(16)
+    words = prose(rng, "abcdefgh", 200).split()
+    rows = [(k, " ".join([*words[: (s := rng.randrange(190))], f"w{k}", *words[s + 1 :]])) for k in range(1800)]
+    rows += [(5000 + k, prose(rng, "abcdefgh", 60)) for k in range(200)]
+    kept = {r.doc_id for r in near_copies.one_of_each(table(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert kept == {0, *range(5000, 5200)}
+
+
 def test_simhash_index():
     rng = np.random.default_rng(6)
     for bits, n in ((12, 900), (63, 400)):
@@ -304,6 +445,69 @@ def test_quality(spark, odd, empty):
     assert quality.quality_scores(empty, marks).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Ratios by counting, the fit by its duality gap, and scores by sums over sets of indicators."""
+    rng = random.Random(17)
+    texts = [prose(rng, "abcdefgh" if k % 3 else "efghijkl", rng.randrange(3, 30)) for k in range(300)]
+    y = np.array([int(k % 3 > 0) if rng.random() < 0.9 else int(k % 3 == 0) for k in range(300)])
+    marks = [quality.packed(m) for m in quality.indicators(texts, 16)]
+    sets = [set(quality.unpacked(m).tolist()) for m in marks]
+    dense = np.zeros(1 << 16, np.float32)
+    dense[:40_000:2] = 1
+    assert quality.packed(dense)[:1] == b"b" and np.array_equal(quality.unpacked(quality.packed(dense)), np.flatnonzero(dense))
+    for t, s in zip(texts[:20], sets, strict=False):
+        padded = f" {t} "
+        grams = {scalar_bucket(padded[k : k + n], 16) for n in (1, 2, 3) for k in range(len(padded) - n + 1)}
+        assert grams <= s
+    model = quality.fit(marks, y, 16)
+    fits = np.ones(300, bool)
+    for side in (0, 1):
+        fits[np.flatnonzero(y == side)[::5]] = False
+    n = [Counter(b for k in range(300) if fits[k] and y[k] == side for b in sets[k]) for side in (0, 1)]
+    total = [sum(c.values()) + 2.0**16 for c in n]
+    ratio = lambda b: np.log((n[1][b] + 1) / total[1]) - np.log((n[0][b] + 1) / total[0])
+    assert all(abs(model.ratio[b] - ratio(b)) < 1e-5 for b in set().union(*sets[:30]))
+
+    def margin(s):
+        return sum(ratio(b) * model.weight[b] for b in s) / np.sqrt(sum(ratio(b) ** 2 for b in s)) + model.intercept
+
+    side = np.where(y > 0, 1, -1)
+    cost = {v: fits.sum() / (2 * np.sum(side[fits] == v)) for v in (-1, 1)}
+    primal = 0.5 * (model.weight @ model.weight + model.intercept**2) + sum(cost[side[k]] * max(0, 1 - side[k] * margin(sets[k])) for k in np.flatnonzero(fits))
+    rest = rng.sample(range(300), 40)
+    for _ in range(20):  # no small step from the fit lowers the objective
+        step = np.array([rng.gauss(0, 1) for _ in range(300)])
+        direction = defaultdict(float)
+        for k in rest:
+            length = np.sqrt(sum(ratio(b) ** 2 for b in sets[k]))
+            for b in sets[k]:
+                direction[b] += 1e-3 * step[k] * ratio(b) / length
+        moved = lambda s: sum(ratio(b) * (model.weight[b] + direction.get(b, 0)) for b in s) / np.sqrt(sum(ratio(b) ** 2 for b in s)) + model.intercept  # noqa: B023, E731
+        square = model.weight @ model.weight + sum(2 * model.weight[b] * d + d * d for b, d in direction.items()) + model.intercept**2
+        assert 0.5 * square + sum(cost[side[k]] * max(0, 1 - side[k] * moved(sets[k])) for k in np.flatnonzero(fits)) > primal * (1 - 2e-3)
+    docs = table(spark, [(k, t, "en", "s") for k, t in enumerate([*texts[:40], None, ""])])
+    for r in quality.predict(docs.select("doc_id", "text"), model).collect():
+        own = sets[r.doc_id] if r.doc_id < 40 else set()
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * (margin(own) if own else model.intercept) + model.offset)))) < 1e-4
+
+
+def test_mixing_with_one_identifier(spark, monkeypatch):
+    """Nine in ten rows share a doc_id, or have none: all places of the order are used, none twice."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rng = random.Random(18)
+    for shared_id in (7, None):
+        rows = [(shared_id if k % 10 else 1000 + k, prose(rng, "ab", rng.randrange(1, 9)), "a" if k % 4 else "b") for k in range(600)]
+        docs = table(spark, [(i, t, "en", s) for i, t, s in rows])
+        placed = mixing.placed(shared.located(docs, "doc_id", "text", "source")).collect()
+        for rank in (1, 2):
+            own = sorted((r["_sum"], r["_size"]) for r in placed if r["_rank"] == rank)
+            assert [s for s, _ in own] == np.cumsum([n for _, n in own]).tolist()  # a running sum over all rows, in some order
+        again = [sorted(tuple(r) for r in mixing.mixed(docs).collect() if r.doc_id is not None) for _ in range(2)]
+        total = sum(len(t.split()) for _, t, _ in rows)
+        taken = sum(r.taken for r in mixing.mixed(docs).collect())
+        assert again[0] == again[1] and total - 9 < taken <= total
+
+
 def brute_mix(rows):
     """Fair queueing row by row, for rows (doc_id, text, source): taken by doc_id, and targets by source."""
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
