@@ -3,7 +3,8 @@
 The lines of a paragraph are joined, without the marks of comments before them, but for
 SPDX marks and lines that begin with a copyright.  Paragraphs are cut into sentences
 after `.`, `!`, `?`, `:` and `;` before white space, but not after
-`SPDX-License-Identifier:` or before `either version`.  A sentence is lower-cased,
+`SPDX-License-Identifier:` and `v.` or before `either version`.  An SPDX mark names each
+identifier of its expression.  A sentence is lower-cased,
 everything but letters, digits, `.`, `+` and `-` becomes one space, and the ends are
 trimmed.  All known sentences whose patterns are found in it name it, in the order of
 their places, of several at one place the first known; a sentence that speaks of licences
@@ -61,6 +62,28 @@ SENTENCES = [
 _PUBLISHED = r"public license( as published by the free software foundation)?( either)? version"
 WORDINGS = {n: p.replace("public license version", _PUBLISHED) for n, p in SENTENCES if "general public license version" in p}
 
+#: Sentences of further published licences, which come before those above and aren't in the SQL.
+MORE_SENTENCES = [
+    ("LGPL-2.1", rf"gnu lesser general {_PUBLISHED} 2\.1"),
+    ("ISC-GRANT", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0BSD-GRANT", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted$"),
+]
+
+#: Rules over these names, and over names above, that aren't in the SQL.
+MORE_RULES = [
+    (["LGPL-2.1", "ANY-LATER"], "LGPL-2.1-or-later"),
+    (["LGPL-2.1"], "LGPL-2.1"),
+    (["AGPL-3", "ANY-LATER"], "AGPL-3.0-or-later"),
+    (["ISC-GRANT"], "ISC"),
+    (["0BSD-GRANT"], "0BSD"),
+]
+
+#: An SPDX mark and its expression: identifiers, with and, or, with and brackets between them.
+_IDENTIFIER = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+SPDX = rf"(?i)spdx-license-identifier:\s*((?:\(\s*)*{_IDENTIFIER}(?:\s*\))*(?:\s+(?:and|or|with)\s+(?:\(\s*)*{_IDENTIFIER}(?:\s*\))*)*)"
+#: Identifiers that have a sentence's name above.
+SPDX_NAMES = {"mit": "SPDX-MIT", "apache-2.0": "SPDX-APACHE-2.0", "gpl-3.0": "SPDX-GPL-3.0", "gpl-3.0-only": "SPDX-GPL-3.0", "bsd-3-clause": "SPDX-BSD-3"}
+
 #: Ordered rules: sequences of sentence names and the licence that they state.
 RULES = [
     (["SPDX-MIT"], "MIT"),
@@ -103,7 +126,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     text = F.regexp_replace(text, r"(?md)^(.*(?i:spdx-license-identifier:).*)$", "\n$1\n")
     text = F.regexp_replace(text, r"(?md)^(?=Copyright |(?i:copyright)\s+(?:\([cC]\)|©|[0-9]))", "\n")
     text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
-    cut = F.split(F.regexp_replace(text, r"([.!?:]|;(?!\s+either\s+version))(?<!(?i:spdx-license-identifier:))[\x20\x09-\x0D]+", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(text, r"([.!?:]|;(?!\s+either\s+version))(?<!(?i:spdx-license-identifier:))(?<!(?i:\bv\.))[\x20\x09-\x0D]+", "$1\n"), "\n")
     told = F.filter(cut, lambda s: s.rlike(f"(?i){MENTION}"))
 
     def cleaned(sentence):
@@ -111,29 +134,50 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return F.regexp_replace(clean, r"\.$", "")
 
     def found_in(clean):
-        places = [F.struct(F.regexp_instr(clean, F.lit(WORDINGS.get(n, p))).alias("at"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(SENTENCES)]
+        known = [*MORE_SENTENCES, *((n, WORDINGS.get(n, p)) for n, p in SENTENCES)]
+        places = [F.struct(F.regexp_instr(clean, F.lit(p)).alias("at"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(known)]
         return F.array_sort(F.filter(F.array(*places), lambda x: x["at"] > 0))
 
+    def marked(sentence):
+        """Names of the identifiers of an SPDX mark; an exception after `with` is no licence."""
+        ids = F.regexp_extract_all(F.regexp_replace(F.regexp_extract(sentence, SPDX, 1), r"(?i)\bwith\s+\S+", ""), F.lit(_IDENTIFIER), 0)
+        ids = F.transform(F.filter(ids, lambda x: ~F.lower(x).isin("and", "or")), lambda x: F.regexp_replace(x, r"\.$", ""))
+        names = F.create_map(*[F.lit(x) for pair in SPDX_NAMES.items() for x in pair])
+        return F.transform(ids, lambda x: F.coalesce(names[F.lower(x)], F.concat(F.lit("SPDX:"), x)))
+
     def named(hits):
         first = F.filter(hits, lambda x, i: ~F.get(hits, i - 1)["at"].eqNullSafe(x["at"]))
         return F.when(F.size(hits) == 0, F.array(F.lit("UNKNOWN"))).otherwise(F.transform(first, lambda x: x["name"]))
 
-    told = F.transform(F.transform(F.transform(told, cleaned), found_in), named)
+    # step by step, as what stands in a function of an array's elements is computed wherever it's named
+    steps = F.transform(told, lambda s: F.struct(F.when(s.rlike(SPDX), marked(s)).alias("marks"), cleaned(s).alias("clean")))
+    steps = F.transform(steps, lambda x: F.struct(x["marks"].alias("marks"), F.when(x["marks"].isNull(), found_in(x["clean"])).alias("hits")))
+    told = F.transform(steps, lambda x: F.coalesce(x["marks"], named(x["hits"])))
     names = F.when(F.col("text").rlike(f"(?i){MENTION}"), F.flatten(told))
     found = docs.select("doc_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
-    found = found.withColumn("sentence_ids", F.array_join("names", ",")).withColumn("left0", F.concat(F.lit(","), F.array_join(F.filter("names", lambda s: s != "UNKNOWN"), ",,"), F.lit(",")))
-    rest = F.col("left0")
-    hits = []
-    for sequence, licence in RULES:
-        pattern = F.lit("".join(f",{s}," for s in sequence))
-        hits.append(F.when(F.contains(rest, pattern), F.lit(licence)))
-        rest = F.replace(rest, pattern, F.lit(","))
-    licenses = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")
+    found = found.withColumn("sentence_ids", F.array_join("names", ","))
+    rest = F.concat(F.lit(","), F.array_join(F.filter("names", lambda n: n != "UNKNOWN"), ",,"), F.lit(","))
+    rules = F.array(*[F.struct(F.lit("".join(f",{n}," for n in sequence)).alias("names"), F.lit(licence).alias("licence")) for sequence, licence in ordered_rules()])
+
+    def applied(state, rule):
+        used = F.struct(F.replace(state["rest"], rule["names"], F.lit(",")).alias("rest"), F.array_append(state["hits"], rule["licence"]).alias("hits"))
+        return F.when(F.contains(state["rest"], rule["names"]), used).otherwise(state)
+
+    hits = F.aggregate(rules, F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("hits")), applied)["hits"]
+    spdx = F.transform(F.filter("names", lambda n: n.startswith("SPDX:")), lambda n: F.regexp_replace(F.regexp_replace(F.substring(n, 6, 1000), "-only$", ""), r"\+$", "-or-later"))
+    licenses = F.array_join(F.array_sort(F.array_distinct(F.concat(hits, spdx))), ",")
     licenses = F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(licenses)
     n_unknown = F.size(F.filter("names", lambda s: s == "UNKNOWN")).cast("long")
     return found.select("doc_id", "sentence_ids", licenses.alias("licenses"), n_unknown.alias("n_unknown"))
 
 
+def ordered_rules() -> list[tuple[list[str], str]]:
+    """All rules, longest statements first: a licence after a reserved copyright isn't proprietary."""
+    reserved, _ = RULES[-1]
+    rules = [*MORE_RULES, *RULES]
+    return [(reserved + names, licence) for names, licence in rules if names != reserved] + rules
+
+
 def license_sql() -> str:
     """As DuckDB SQL, line by line and with one name for a sentence: the same where no statement is wrapped or holds several names."""
     quoted = "'" + "(?i)" + MENTION + "'"
