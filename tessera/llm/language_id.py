@@ -120,7 +120,7 @@ def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANG
 
 
 def scores(texts: list[str], model: LanguageModel, moments: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The likeliest language of each text, its posterior probability, and with `moments` mean and variance of its n-grams' log probabilities."""
+    """The likeliest language of each text, its posterior probability, the mean of its n-grams' log probabilities, and with `moments` their variance."""
     found, ends, has_letter = buckets(texts, model.bits)
     total = np.empty((len(model.languages), len(texts)))
     for k, (row, prior) in enumerate(zip(model.weights, model.prior, strict=True)):
@@ -130,19 +130,16 @@ def scores(texts: list[str], model: LanguageModel, moments: bool = False) -> tup
         total[k] = prior + np.add.reduceat(gathered, ends[:-1], dtype=np.float64)
     best = total.argmax(axis=0)
     score = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-    own = np.repeat(best, np.diff(ends))
-    n, first, second = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
-    for at in found if moments else []:
-        gathered = model.weights[own, at].astype(np.float64)
-        n += np.add.reduceat(at < 1 << model.bits, ends[:-1], dtype=np.float64)
-        first += np.add.reduceat(gathered, ends[:-1])
-        second += np.add.reduceat(gathered**2, ends[:-1])
-    mean = first / np.maximum(n, 1)
-    return [model.languages[k] if x else UNKNOWN for k, x in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), mean, second / np.maximum(n, 1) - mean**2
+    n = sum(np.add.reduceat(at < 1 << model.bits, ends[:-1], dtype=np.float64) for at in found)
+    mean, variance = (total[best, np.arange(len(texts))] - model.prior[best]) / np.maximum(n, 1), np.zeros(len(texts))
+    if moments:
+        own = np.repeat(best, np.diff(ends))
+        variance = sum(np.add.reduceat(model.weights[own, at].astype(np.float64) ** 2, ends[:-1]) for at in found) / np.maximum(n, 1) - mean**2
+    return [model.languages[k] if x else UNKNOWN for k, x in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), mean, variance
 
 
 def predict(docs: DataFrame, model: LanguageModel, moments: bool = False) -> DataFrame:
-    """Columns _0, _1 and so on as those of docs, and _lang, _score, _mean and _variance (0 without `moments`), from the column text alone; no shuffle."""
+    """Columns _0, _1 and so on as those of docs, and _lang, _score, _mean and _variance (0 without `moments`; see scores), from the column text alone; no shuffle."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -198,5 +195,5 @@ def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     model = learn(own, ~held_out(F.col("doc_id")))
     if not model.languages:
         return docs.limit(0)
-    kept = predict(docs, model, moments=True).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least) & (F.col("_mean") >= least_mean(own, model)))
+    kept = predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least) & (F.col("_mean") >= least_mean(own, model)))
     return kept.drop("_lang", "_score", "_mean", "_variance").toDF(*docs.columns)
