@@ -14,7 +14,7 @@ from .dense import dense_topk
 from .filters import build_filter
 from .fusion import rrf, weighted
 from .selection import build_context, mmr, overlap_score, rerank
-from .sparse import bm25_topk
+from .sparse import SparseIndex, bm25_topk
 
 
 class RetrievalUnavailable(RuntimeError):
@@ -41,8 +41,8 @@ class Search:
         return [name for name, up in (("dense_unavailable", self.dense), ("sparse_unavailable", self.sparse), ("rerank_unavailable", self.reranker)) if not up]
 
 
-def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search) -> dict[str, DataFrame]:
-    """Ranked lists by source; the filter holds before scoring in both."""
+def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search, index: SparseIndex | None = None) -> dict[str, DataFrame]:
+    """Ranked lists by source; the filter holds before scoring in both.  index has the postings of docs, if they are written already."""
     if not (s.dense or s.sparse):
         raise RetrievalUnavailable("neither dense nor sparse search is available")
     keep: Column | None = build_filter(s.filters)
@@ -52,7 +52,7 @@ def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search) ->
         found["dense"] = dense_topk(rows, queries, s.settings.top_k_dense)
     if s.sparse:
         asked = queries if s.rewrite is None else queries.withColumn("text", s.rewrite(F.col("text")))
-        found["sparse"] = bm25_topk(docs, asked.select("query_id", "text"), s.settings.top_k_sparse, keep, s.settings)
+        found["sparse"] = bm25_topk(docs, asked.select("query_id", "text"), s.settings.top_k_sparse, keep, s.settings, index)
     return found
 
 
@@ -75,14 +75,14 @@ def hydrate(hits: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select("doc_id", *columns).join(hits, "doc_id")
 
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search | None = None) -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search | None = None, index: SparseIndex | None = None) -> DataFrame:
     """Citations of a context for each question: see build_context, and degraded (what was missing, joined by commas).
 
     docs has doc_id, text, source, lang and the columns that filters name; vectors has
     doc_id and embedding; queries has query_id, text and embedding.
     """
     s = s or Search()
-    chosen = diverse(fused(legs(docs, vectors, queries, s), s), vectors, s)
+    chosen = diverse(fused(legs(docs, vectors, queries, s, index), s), vectors, s)
     full = hydrate(chosen, docs, ["text", "source", "lang"]).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
     if s.reranker:
         top = rerank(full, overlap_score(F.col("question"), F.col("text")), "mmr_rank", s.top_k, s.settings.rerank_pool)

@@ -1,15 +1,20 @@
-"""BM25 over exploded postings; terms are joined as strings, so none collide."""
+"""BM25 over postings that are written once; terms are joined as strings, so none collide."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
-from .postings import corpus_totals
+from ..storage import new_path
+from .postings import corpus_totals, lengths
 
-#: Distinct query terms that are broadcast; a larger query set is joined by shuffle.
+#: Folders of postings; a search reads those of its terms.
+BUCKETS = 16
+#: Query terms that are broadcast; a larger query set is joined by shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -30,25 +35,65 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k_sparse, keep: Column | None = None, s: Settings = DEFAULTS) -> DataFrame:
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class SparseIndex:
+    """postings (term, doc_id, tf, doc_len, bucket), terms (term, df) and totals (one row: n_docs, total_len, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+_POSTINGS = "term string, doc_id long, tf long, doc_len int, bucket int"
+
+
+def write_index(docs: DataFrame, path: str | None = None) -> SparseIndex:
+    """Encode doc_id and text once, for any number of searches, in folders below `path`.
+
+    Postings are sorted by term and cut into files by ranges of term and doc_id, so a
+    frequent term has as many files as it needs.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "sparse-index")
+    analyzed = docs.select(F.col("doc_id").cast("long"), T.terms(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = analyzed.select("doc_id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    postings = rows.groupBy("doc_id", "term", "doc_len").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term")))
+    postings = postings.select("term", "doc_id", "tf", "doc_len", "bucket").repartitionByRange("bucket", "term", "doc_id")
+    postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark.read.schema(_POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    corpus_totals(lengths(docs)).write.parquet(f"{path}/totals")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> SparseIndex:
+    """The index below `path`."""
+    postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    terms = spark.read.schema("term string, df long").parquet(f"{path}/terms")
+    return SparseIndex(postings, terms, spark.read.schema("n_docs long, total_len long, avgdl double").parquet(f"{path}/totals"))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k_sparse, keep: Column | None = None, s: Settings = DEFAULTS, index: SparseIndex | None = None) -> DataFrame:
     """query_id, doc_id, score (6 places) and rank of the k best documents that share a term with a query.
 
-    `keep` restricts which documents are returned, not the statistics.  Only words that
-    some query has leave the scan: postings of other terms are never shuffled.
+    `keep`, over columns of docs, restricts which documents are returned, not the
+    statistics.  Only the postings of terms that some query has are read; without an
+    index one is written first.
     """
+    index = index or write_index(docs)
     asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    if vocabulary.count() <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    columns = [docs["doc_id"], T.terms(F.coalesce("text", F.lit(""))).alias("words"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep")]
-    analyzed = docs.select(*columns)
-    totals = corpus_totals(analyzed.select(F.size("words").cast("long").alias("doc_len")))
-    rows = analyzed.select("doc_id", "keep", F.size("words").alias("doc_len"), F.explode("words").alias("term")).join(vocabulary, "term")
-    postings = rows.groupBy("doc_id", "term", "doc_len", "keep").agg(F.count("*").alias("tf"))
-    weights = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals), how="cross")  # totals: one row
-    weights = weights.select("term", "avgdl", idf(F.col("df"), F.col("n_docs")).alias("idf")).where("idf > 0")
-    scored = asked.join(weights, "term").join(postings.where("keep"), "term")
-    scored = scored.withColumn("part", F.col("idf") * tf_weight(F.col("tf"), F.col("doc_len"), F.col("avgdl"), s))
+    wanted = asked.select(bucket(F.col("term")).alias("b")).distinct().collect()  # at most BUCKETS
+    weights = asked.join(index.terms, "term").join(F.broadcast(index.totals), how="cross")  # totals: one row
+    weights = weights.select("query_id", "term", "avgdl", idf(F.col("df"), F.col("n_docs")).alias("idf")).where("idf > 0")
+    if asked.count() <= BROADCAST_TERMS:
+        weights = F.broadcast(weights)
+    postings = index.postings.where(F.col("bucket").isin([r.b for r in wanted])) if wanted else index.postings.where(F.lit(False))
+    if keep is not None:
+        postings = postings.join(docs.where(keep).select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    scored = postings.join(weights, "term").withColumn("part", F.col("idf") * tf_weight(F.col("tf"), F.col("doc_len"), F.col("avgdl"), s))
     scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scores, k)
 

@@ -12,7 +12,8 @@ from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators.search import Search, diverse, fused, hydrate
 from ..operators.selection import overlap_score, rerank
-from ..operators.sparse import BROADCAST_TERMS, bm25_topk
+from ..operators.sparse import BROADCAST_TERMS
+from ..storage import written
 from . import retrieval as R
 from . import sql as Q
 from .registry import query, table
@@ -49,10 +50,10 @@ def golden_labels(spark, sf_dir):
 
 
 def configurations(spark, sf_dir):
-    """Ranked lists of the four ways to search."""
+    """Ranked lists of the four ways to search; what several of them use is written once."""
     s = Search()
-    found = R.both_legs(spark, sf_dir)
-    hybrid = fused(found, s)
+    found = {name: written(leg, f"leg-{name}") for name, leg in R.both_legs(spark, sf_dir).items()}
+    hybrid = written(fused(found, s), "fused")
     full = hydrate(diverse(hybrid, R.vectors(spark, sf_dir), s), R.docs(spark, sf_dir), ["text"]).join(R.questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id")
     full = rerank(full, overlap_score(F.col("question"), F.col("text")), "mmr_rank", 20)
     return {
@@ -71,14 +72,14 @@ _LISTS = "all_lists as (select 'dense' as config, query_id, doc_id, rank from de
     select config, count(*)::bigint as n_queries, round(avg((coalesce(f, 999) <= 1)::int), 4) as hit_1, round(avg((coalesce(f, 999) <= 5)::int), 4) as hit_5, round(avg((coalesce(f, 999) <= 10)::int), 4) as hit_10, round(avg(coalesce(1e0 / f, 0)), 4) as mrr from m group by config"""
 )
 def golden_metrics(spark, sf_dir):
-    truth = relevant(spark, sf_dir)
+    truth = written(relevant(spark, sf_dir), "relevant")
     rows = [E.mean_metrics(E.golden_metrics(found, truth)).withColumn("config", F.lit(name)) for name, found in configurations(spark, sf_dir).items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query(f"with {Q.sparse()}, {_GOLDEN}, f as (select query_id, min(rank) as f from sparse join golden using (query_id, doc_id) group by query_id) select query_id, coalesce(1e0 / f, 0e0) as rr from (select distinct query_id from golden) left join f using (query_id)")
 def mrr(spark, sf_dir):
-    found = bm25_topk(R.docs(spark, sf_dir), R.questions(spark, sf_dir).select("query_id", "text"))
+    found = R.bm25(spark, sf_dir)
     return E.golden_metrics(found, relevant(spark, sf_dir)).select("query_id", "rr")
 
 
@@ -105,9 +106,9 @@ def ann_recall(spark, sf_dir):
 def nprobe_sweep(spark, sf_dir):
     """Recall of inverted lists by how many of 16 are probed."""
     vectors, asked = R.vectors(spark, sf_dir), R.questions(spark, sf_dir).where("embedding is not null")
-    truth = D.dense_topk(vectors, asked, 10)
+    truth = written(D.dense_topk(vectors, asked, 10), "truth")
     centres = D.centroids(vectors, 16)
-    index = D.with_cells(vectors, centres)
+    index = written(D.with_cells(vectors, centres), "cells")
     rows = [E.ann_recall(D.ivf_topk(index, centres, asked, 10, n), truth).agg(F.round(F.avg("recall_10"), 4).alias("recall_10")).withColumn("nprobe", F.lit(n)) for n in (1, 4, 8, 16)]
     return reduce(lambda a, b: a.unionByName(b), rows)
 

@@ -13,8 +13,9 @@ from ..operators import selection as M
 from ..operators.filters import build_filter
 from ..operators.fusion import rrf, weighted
 from ..operators.search import Search, diverse, fused, hydrate, legs, search
-from ..operators.sparse import bm25_topk as bm25
-from ..operators.sparse import idf, ranked, tf_weight
+from ..operators.sparse import SparseIndex, idf, ranked, tf_weight, write_index
+from ..operators.sparse import bm25_topk as scored
+from ..storage import signature
 from . import sql as Q
 from .registry import query, table
 
@@ -23,6 +24,23 @@ def docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_indexes: dict[tuple, SparseIndex] = {}
+
+
+def index(spark, sf_dir) -> SparseIndex:
+    """The postings of the documents: written by an application's first search, read by all that follow as long as the files are the same."""
+    rows = docs(spark, sf_dir)
+    key = spark.sparkContext.applicationId, signature(rows)
+    if key not in _indexes:
+        _indexes[key] = write_index(rows)
+    return _indexes[key]
+
+
+def bm25(spark, sf_dir, k=100, rows=None, keep=None) -> DataFrame:
+    """Ranked documents of all questions."""
+    return scored(docs(spark, sf_dir) if rows is None else rows, questions(spark, sf_dir).select("query_id", "text"), k, keep, index=index(spark, sf_dir))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
@@ -34,7 +52,7 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def both_legs(spark, sf_dir):
-    return legs(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), Search())
+    return legs(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), Search(), index(spark, sf_dir))
 
 
 @query(f"with {Q.ANALYZED} select doc_id, term, tf from tf")
@@ -76,7 +94,7 @@ def bm25_idf(spark, sf_dir):
 
 @query(f"with {Q.sparse(100)} select query_id, doc_id, score, rank from sparse")
 def bm25_topk(spark, sf_dir):
-    return bm25(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"))
+    return bm25(spark, sf_dir)
 
 
 @query(f"with {Q.dense(10)} select query_id, doc_id, score, rank from dense")
@@ -94,7 +112,7 @@ def prefilter_topk(spark, sf_dir):
 def prefilter_sparse(spark, sf_dir):
     """The filter restricts results, not the statistics."""
     rows = docs(spark, sf_dir).withColumns({"section": F.col("lang"), "ticker": F.col("source")})
-    return bm25(rows, questions(spark, sf_dir).select("query_id", "text"), 10, build_filter({"item": "en", "ticker": ["src1", "src2"], "tenant": None}))
+    return bm25(spark, sf_dir, 10, rows, build_filter({"item": "en", "ticker": ["src1", "src2"], "tenant": None}))
 
 
 @query("with r as (select vec_id, label, row_number() over (partition by label order by round(list_sum(embedding::double[]), 6) desc, vec_id) as k from embeddings) select label, vec_id, k::int as rank from r where k <= 5")
@@ -145,7 +163,7 @@ def mmr_select(spark, sf_dir):
 @query(f"with {Q.sparse()} select query_id, doc_id, rank, source, lang, md5(text) as text_md5 from sparse join documents using (doc_id) where rank <= 20")
 def hydrate_hits(spark, sf_dir):
     """Texts are fetched for the hits alone."""
-    hits = bm25(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"), 20).drop("score")
+    hits = bm25(spark, sf_dir, 20).drop("score")
     full = hydrate(hits, docs(spark, sf_dir), ["text", "source", "lang"])
     return full.select("query_id", "doc_id", "rank", "source", "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -161,7 +179,7 @@ def rerank_topk(spark, sf_dir):
 
 def _context_candidates(spark, sf_dir):
     rows, own = docs(spark, sf_dir), vectors(spark, sf_dir)
-    hits = bm25(rows, questions(spark, sf_dir).select("query_id", "text"), 20)
+    hits = bm25(spark, sf_dir, 20)
     full = hydrate(hits, rows, ["text", "source", "lang"]).join(own.select("doc_id", "embedding"), "doc_id", "left")
     label = T.citation_label(F.col("source"), F.col("lang"), F.lit(None).cast("string"))
     return full.withColumns({"n_tokens": T.token_estimate(F.lit(None).cast("int"), F.col("text")), "label": label})
@@ -185,7 +203,7 @@ def context_stats(spark, sf_dir):
 @query(f"with {Q.sparse(50)}, c as (select s.query_id, s.doc_id, d.source, row_number() over (partition by query_id, d.source order by rank)::int as nth from sparse s join documents d using (doc_id)) select * from c where nth <= 3")
 def doc_cap(spark, sf_dir):
     """At most three hits of a document, by rank alone."""
-    hits = hydrate(bm25(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", "text"), 50), docs(spark, sf_dir), ["source"])
+    hits = hydrate(bm25(spark, sf_dir, 50), docs(spark, sf_dir), ["source"])
     nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))
     return hits.withColumn("nth", nth).where("nth <= 3").select("query_id", "doc_id", "source", "nth")
 
@@ -196,7 +214,7 @@ _HYBRID = f"with recursive {Q.sparse()}, {Q.dense()}, {Q.RRF}, {Q.MMR}, {Q.HYDRA
 @query(f"{_HYBRID} select *, '' as degraded from context")
 def hybrid_search(spark, sf_dir):
     """The whole read path for all questions at once."""
-    return search(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir))
+    return search(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), index=index(spark, sf_dir))
 
 
 @query(
@@ -207,7 +225,7 @@ def hybrid_search(spark, sf_dir):
 def degraded_sparse_only(spark, sf_dir):
     """Without vectors and reranker the sparse list goes on alone, and the result says so."""
     s = Search(dense=False, reranker=False, diverse=False)
-    return search(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), s)
+    return search(docs(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), s, index(spark, sf_dir))
 
 
 @query(f"with {Q.sparse()}, {Q.dense()}, {Q.RRF} select query_id, doc_id, round(fused_score, 5) as fused_score, fused_rank from rrf where fused_rank <= 10")

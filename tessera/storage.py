@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of one machine can't take its place, so none is an error."""
+    """The folder in spark.checkpoint.dir.
+
+    Where it is unset a session on one machine gets a folder of its own; on a cluster such
+    a folder can't take its place, so there that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -38,3 +47,13 @@ def discard(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/tessera/" in folder:
                 delete(df.sparkSession, folder)
+
+
+def signature(df: DataFrame) -> tuple:
+    """What tells whether a table's files are the same as before: their paths, sizes and times."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        found += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path)]
+    return tuple(sorted(found))
