@@ -108,9 +108,8 @@ def pack_windows(spark, sf_dir):
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S"))
     whole = F.transform(lines, lambda s: F.array_join(T.tokens(s), " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", whole.alias("units")).where(F.size("units") > 0)
-    windows = C.packer(15)("units", F.lit(120))
-    sizes = F.transform(windows, lambda w: F.size(T.tokens(w)))
-    return rows.select("doc_id", sizes.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_windows"), F.array_join(F.col("s").cast("array<string>"), ",").alias("sizes"))
+    packed = rows.select("doc_id", C.packer(15)("units", F.lit(120)).alias("p"))
+    return packed.select("doc_id", F.col("p.windows.n").alias("s")).select("doc_id", F.size("s").cast("long").alias("n_windows"), F.array_join(F.col("s").cast("array<string>"), ",").alias("sizes"))
 
 
 def _sections(spark, sf_dir):
@@ -131,7 +130,7 @@ def chunk_documents(spark, sf_dir):
 
 @query()
 def chunk_stats(spark, sf_dir):
-    """Windows, tokens and short windows of each document."""
+    """Windows, tokens, what was dropped or split, and what stays of each document."""
     return C.statistics(_sections(spark, sf_dir))
 
 

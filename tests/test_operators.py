@@ -364,6 +364,46 @@ def test_chunks(spark):
         chunking.chunks(sections, Settings(chunk_size=40)).count()
 
 
+def test_chunk_statistics(spark):
+    """Against counting by hand: a repeated section, a short one, and one sentence of 300 words."""
+    text = " ".join(f"Sentence number {k} has words." for k in range(60))
+    long = " ".join(f"w{k}" for k in range(300))
+    parts = [("1", 0, text), ("1A", 1, text), ("2", 2, "Too short."), ("3", 3, long), ("2", 4, "Too short.")]
+    sections = spark.createDataFrame([("d", "t", "u", item, place, "Head", t) for item, place, t in parts], "document_id string, tenant string, source_uri string, item string, position int, header string, text string")
+    small = Settings(chunk_size=120, chunk_overlap=16, chunk_min=8)
+    got = {r.item: r for r in chunking.statistics(sections, small).collect()}
+    sizes = {t: [w["n"] for w in chunking.section_windows(t.replace(". ", ".|").split("|"), 113, 16)[0]] for t in (text, long)}
+    assert (got["1"].windows, got["1"].tokens, got["1"].duplicates, got["1"].chunks) == (len(sizes[text]), sum(sizes[text]), 0, len(sizes[text]))
+    assert (got["1A"].duplicates, got["1A"].chunks, got["1A"].chars) == (len(sizes[text]), 0, 0)
+    assert (got["2"].windows, got["2"].dropped_short, got["2"].duplicates, got["2"].chunks) == (2, 2, 0, 0)
+    assert (got["3"].hard_split, got["3"].tokens) == (1, sum(sizes[long])) and sizes[long] == [113, 113, 106] and got["1"].hard_split == 0
+    chunks = chunking.chunks(sections, small).collect()
+    assert {i: sum(r.item == i for r in chunks) for i in got} == {i: r.chunks for i, r in got.items()}
+    assert {i: sum(r.char_count for r in chunks if r.item == i) for i in got} == {i: r.chars for i, r in got.items()}
+
+
+def test_chunks_are_packed_once(spark):
+    """One Python node in the plan, and windows keep a text's own spacing."""
+    rows = [("d", "default", "u", "1", 0, "Head", "One  two\tthree\nfour five. Six seven eight.")]
+    sections = spark.createDataFrame(rows, "document_id string, tenant string, source_uri string, item string, position int, header string, text string")
+    found = chunking.chunks(sections, Settings(chunk_size=20, chunk_overlap=2, chunk_min=2))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.text for r in found.collect()] == ["One two three\nfour five. Six seven eight."]
+
+
+def test_library_tokenizer():
+    """Windows of a real vocabulary: within the budget, on token boundaries, nothing lost."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    spans = chunking.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    sentences = ["The undertaking's  revenue rose by 12.5%.", "Supercalifragilisticexpialidocious " * 20, "So it is."]
+    windows, split = chunking.section_windows(sentences, 40, 6, spans)
+    assert split == 1 and all(0 < w["n"] <= 44 for w in windows) and windows[0]["body"].startswith(sentences[0])
+    assert all(w["n"] == len(spans(w["body"])) for w in windows)
+    text = " ".join(w["body"] for w in windows)
+    assert text.count("So it is.") == 1 and all(w in text for w in ("undertaking's", "Supercalifragilisticexpialidocious"))
+
+
 def test_answers(spark, tmp_path):
     rows = spark.createDataFrame([(1, "q1", "[1] (d)\ntext"), (2, "q2", ""), (3, "q3", None)], "query_id long, question string, context_text string")
     assert {r.answer for r in generation.answers(rows).collect()} == {None}
