@@ -26,6 +26,10 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: Longer texts aren't remembered: they seldom come again, and a memo's memory is bounded by its entries.
+LONGEST = 64
+
+
 class Memo(dict):
     """A memo of at most 2 * cap results in two generations: frequent keys survive, memory is bounded."""
 
@@ -36,6 +40,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if type(key) is str and len(key) > LONGEST:
+                return value
         if len(self) >= self.cap:
             self.old = self.copy()
             self.clear()
@@ -54,6 +60,8 @@ class Merges:
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: What every special string begins with; empty if they share nothing.
+        self.marker = os.path.commonprefix(list(self.special)) if self.special else "\0no special string"
         for text, i in self.special.items():
             self.tokens[i] = text
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, merged id

@@ -93,7 +93,7 @@ class Codec:
 
     def run(self, text: str) -> tuple[bytes, str]:
         """Ids, as little-endian unsigned 32-bit integers, and decoded text."""
-        if "<|" not in text and PLAIN.fullmatch(text):
+        if self.merges.marker not in text and PLAIN.fullmatch(text):
             found = [self.chunks[c] for c in text.lower().split()]
             return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
         ids: list[int] = []
@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                if "<|" not in text and PLAIN.fullmatch(text):
+                if own.merges.marker not in text and PLAIN.fullmatch(text):
                     chunks.update(text.lower().split())
                 else:
                     words.update(w for part, special in own.segments(text) if special is None for w in own.split(part))

@@ -38,8 +38,10 @@ from .near_copies import one_of_each  # noqa: F401
 from .shared import arrow_rows, skew_safe_join, written
 
 SHINGLE = 3
-#: A larger group is divided by further bits; also the rows of a task, about.
-GROUP_ROWS = 400_000
+#: A larger group is divided by further bits, as work within a group is near its square.
+GROUP_ROWS = 20_000
+#: Rows of a task, about.
+TASK_ROWS = 400_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -116,7 +118,7 @@ def links(nodes: DataFrame, total: int, limit: int = DISTANCE, group_rows: int =
         rows = rows.join(large, "key", "left_semi")
     for k in range(1, len(done)):
         done[0] = done[0].unionByName(done[k])
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // group_rows + 1)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // TASK_ROWS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]

@@ -52,6 +52,7 @@ class PrefixCounter:
         self.born = {merged: rank for rank, merged in merges.pairs.values()}
         self.parts = {merged: pair for pair, (_, merged) in merges.pairs.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) or r"(?!)")
+        self.marker = merges.marker
         self.cut = regex.compile(PIECES)
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.unspell = byte
@@ -126,7 +127,7 @@ class PrefixCounter:
         yield text[at:], False
 
     def count(self, text: str) -> int:
-        if "<|" in text:
+        if self.marker in text:
             return sum(1 if special else self._plain(part) for part, special in self.segments(text))
         return self._plain(text)
 
