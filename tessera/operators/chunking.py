@@ -202,3 +202,37 @@ def sections_of(pages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     head = T.header(F.col("company"), F.col("ticker"), F.coalesce(cik, F.lit("unknown")), none, F.col("fiscal_year"), none, F.col("item"), F.col("title"))
     return rows.select("document_id", "tenant", "source_uri", "item", "position", "is_narrative", head.alias("header"), F.col("part.text").alias("text"))
+
+
+def token_batches(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """group, batch, n_rows and tokens: rows of a group in order of size, in batches of at most `most` tokens, of one row at least.
+
+    Rows of equal size are interchangeable, so a group comes as counts by size; batches
+    that are alike are laid out as one row and multiplied after that.
+    """
+
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[list[int]] = []  # first batch, number of batches, rows and tokens of each
+        batch = used = held = 0
+        for n, count in sorted(zip(pdf["n"], pdf["c"], strict=True)):
+            n, left = int(n), int(count)
+            take = left if n == 0 else min(left, max((most - used) // n, 0 if held else 1))
+            held, used, left = held + take, used + take * n, left - take
+            if left:
+                found.append([batch, 1, held, used])
+                each = max(most // n, 1)
+                full, rest = divmod(left, each)
+                whole = full if rest else full - 1  # the last batch stays open
+                if whole:
+                    found.append([batch + 1, whole, each, each * n])
+                batch, held = batch + 1 + whole, rest or each
+                used = held * n
+        if held:
+            found.append([batch, 1, held, used])
+        out = pd.DataFrame(found, columns=["first", "batches", "n_rows", "tokens"], dtype="int64")
+        return out.assign(group=pdf["g"].iloc[0])[["group", "first", "batches", "n_rows", "tokens"]]
+
+    counts = rows.groupBy(F.col(group).alias("g"), F.col(size).alias("n")).agg(F.count("*").alias("c"))
+    laid = counts.groupBy("g").applyInPandas(lay, "group string, first long, batches long, n_rows long, tokens long")
+    every = F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("batches") - 1).cast("int"))
+    return laid.select(F.col("group").alias(group), F.explode(every).alias("batch"), "n_rows", "tokens")

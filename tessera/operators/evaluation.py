@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import ranged
+
 KS = (1, 5, 10)
 
 
@@ -35,11 +39,30 @@ def nearest_rank(column: str, q: float):
     return F.expr(f"percentile_disc({q}) within group (order by {column})")
 
 
+def at_places(rows: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each key the values at given places, from 1 on, of its values in order; a place is a function of their number.
+
+    Equal values are counted first; their running counts are sums within ranges of key and
+    value plus the ranges before, so a key with any share of the rows is no one task's.
+    """
+    counts = ranged(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n")), [key, value], "counted")
+    parts = counts.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))
+    every = Window.partitionBy(key)
+    parts = parts.select(key, "_part", (F.sum("_sum").over(every.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(every).alias("_all"))
+    until = F.sum("_n").over(Window.partitionBy("_part", key).orderBy(value))
+    found = counts.withColumn("_inside", until).join(parts, [key, "_part"]).withColumn("_until", F.col("_before") + F.col("_inside"))
+    at = lambda place: (place > F.col("_until") - F.col("_n")) & (place <= F.col("_until"))
+    return found.groupBy(key).agg(*[F.max(F.when(at(place(F.col("_all"))), F.col(value))).alias(name) for name, place in places.items()])
+
+
+def nearest_percentiles(rows: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:
+    """By key the values at place ceil(q * n), 1 at least."""
+    return at_places(rows, key, value, {name: lambda n, q=q: F.greatest(F.lit(1), F.ceil(n * F.lit(q))) for name, q in qs.items()})
+
+
 def floor_percentiles(rows: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:
-    """The other definition: the value at place floor(n * q), from 0 on, at most the last; by ranking, not by collecting."""
-    ordered = rows.withColumns({"_k": F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1, "_n": F.count("*").over(Window.partitionBy(key))})
-    picks = [F.max(F.when(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q))), F.col(value))).alias(name) for name, q in qs.items()]
-    return ordered.groupBy(key).agg(*picks)
+    """The other definition: the value at place floor(n * q), from 0 on, at most the last."""
+    return at_places(rows, key, value, {name: lambda n, q=q: F.least(n, F.floor(n * F.lit(q)) + 1) for name, q in qs.items()})
 
 
 def drift(truth: DataFrame, have: DataFrame, key: str) -> DataFrame:

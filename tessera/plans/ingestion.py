@@ -196,22 +196,5 @@ def chunk_ids(spark, sf_dir):
 )
 def token_batches(spark, sf_dir):
     """Rows of a shard (here a source) in order of length, in batches of at most 2,000 tokens; a batch holds one row at least."""
-    import pandas as pd
-
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.least(F.size(T.tokens(F.col("text"))), F.lit(512)).alias("n"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id"])
-        out, used = [], 0
-        for n in pdf["n"]:
-            if out and used + n > 2000:
-                used = 0
-            out.append(out[-1] + (used == 0) if out else 0)
-            used += n
-        pdf["batch"] = out
-        found = pdf.groupby("batch", as_index=False).agg(n_rows=("n", "size"), tokens=("n", "sum"))
-        return found.assign(source=pdf["source"].iloc[0])[["source", "batch", "n_rows", "tokens"]]
-
-    return rows.groupBy("source").applyInPandas(pack, "source string, batch int, n_rows long, tokens long")
-
-
+    rows = table(spark, sf_dir, "documents").select("source", F.least(F.size(T.tokens(F.col("text"))), F.lit(512)).alias("n"))
+    return C.token_batches(rows, "source", "n", 2000)

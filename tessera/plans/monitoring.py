@@ -23,8 +23,8 @@ def queue_depths(spark, sf_dir):
 @query("select event_type, round(quantile_disc(value, 0.5), 6) as p50, round(quantile_disc(value, 0.95), 6) as p95, round(quantile_disc(value, 0.99), 6) as p99 from events group by event_type")
 def latency_percentiles(spark, sf_dir):
     """Nearest rank."""
-    parts = [F.round(E.nearest_rank("value", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return events(spark, sf_dir).groupBy("event_type").agg(*parts)
+    found = E.nearest_percentiles(events(spark, sf_dir).select("event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query(

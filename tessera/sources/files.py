@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
+from ..storage import numbered
 
 DOCUMENT = "id string, name string, source_type string, gcs_uri string, tenant string, region string, tags array<string>, meta string, status string, error string, created_at timestamp, updated_at timestamp"
 CHUNK = "id string, document_id string, chunk_index int, section_chunk_index int, text string, context_header string, page_number int, section string, section_title string, is_narrative boolean, token_count int, char_count int, content_sha256 string, tenant string, region string, embedding_model string, chunk_config string, created_at timestamp"
@@ -59,16 +60,8 @@ def skip_existing(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def with_shard(rows: DataFrame, order: list[str], group: str, size: int = DEFAULTS.shard_rows) -> DataFrame:
-    """Adds shard: the number of `size` rows before it in the global order, without one task that numbers all rows.
-
-    A row's number is its number within its group plus the rows of all groups before;
-    there is one count for each group.
-    """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).select(group, "_before")
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    numbered = rows.withColumn("_k", inside).join(before, group)
-    return numbered.withColumn("shard", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_k", "_before")
+    """Adds shard: the number of `size` rows before it in the order of group and `order`; no task numbers all rows, or all of a group."""
+    return numbered(rows, [group, *order], "_k").withColumn("shard", F.floor(F.col("_k") / size).cast("long")).drop("_k")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +58,17 @@ def signature(df: DataFrame) -> tuple:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         found += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path)]
     return tuple(sorted(found))
+
+
+def ranged(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """rows, written in ranges of the keys, and _part, the number of the range: a global order in which no task holds more than its range."""
+    return written(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), label)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the place of each row, from 0 on, in the order of the keys, whatever share of the rows one key holds."""
+    own = ranged(rows, keys, "numbered")
+    counts = own.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    return own.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")

@@ -364,6 +364,38 @@ def test_chunks(spark):
         chunking.chunks(sections, Settings(chunk_size=40)).count()
 
 
+@pytest.mark.parametrize("sizes", [[7] * 900 + [3] * 40 + [0, 0, 60], [50, 60, 70], [5], list(range(1, 40)) * 3])
+def test_token_batches(spark, sizes):
+    """One group with all rows, many of one size, against packing row by row."""
+    rows = spark.createDataFrame([("g", n) for n in sizes], "g string, n long")
+    want, used = [], None
+    for n in sorted(sizes):
+        if used is None or used + n > 50:
+            want.append([0, 0])
+            used = 0
+        used += n
+        want[-1][0] += 1
+        want[-1][1] = used
+    got = sorted(chunking.token_batches(rows, "g", "n", 50).collect(), key=lambda r: r.batch)
+    assert [(r.batch, r.n_rows, r.tokens) for r in got] == [(k, *w) for k, w in enumerate(want)]
+
+
+def test_orders_of_one_key(spark):
+    """Shards and percentiles where one key holds nine in ten rows."""
+    rng = np.random.default_rng(5)
+    rows = [("hot" if k % 10 else f"c{k}", k, float(rng.integers(0, 30))) for k in range(500)]
+    df = spark.createDataFrame(rows + [("hot", 900, None)], "g string, k long, v double").repartition(4)
+    want = {(g, k): n // 7 for n, (g, k, _) in enumerate(sorted([*rows, ("hot", 900, None)], key=lambda r: r[:2]))}
+    assert {(r.g, r.k): r.shard for r in files.with_shard(df, ["k"], "g", 7).collect()} == want
+    hot = sorted(v for g, _, v in rows if g == "hot")
+    nearest = {r.g: r for r in evaluation.nearest_percentiles(df, "g", "v", {"a": 0.5, "b": 0.95, "c": 0.001}).collect()}
+    floored = {r.g: r for r in evaluation.floor_percentiles(df, "g", "v", {"a": 0.5, "b": 0.95, "c": 1.0}).collect()}
+    n = len(hot)
+    assert [nearest["hot"][x] for x in "abc"] == [hot[math.ceil(q * n) - 1] for q in (0.5, 0.95)] + [hot[0]]
+    assert [floored["hot"][x] for x in "abc"] == [hot[min(n - 1, int(n * q))] for q in (0.5, 0.95, 1.0)]
+    assert len(nearest) == 51
+
+
 def test_chunk_statistics(spark):
     """Against counting by hand: a repeated section, a short one, and one sentence of 300 words."""
     text = " ".join(f"Sentence number {k} has words." for k in range(60))
