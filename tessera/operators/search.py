@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
+from ..storage import written
+from .breaker import CircuitBreaker, CircuitOpen
 from .dense import dense_topk
 from .filters import build_filter
 from .fusion import rrf, weighted
-from .selection import build_context, mmr, overlap_score, rerank
+from .selection import build_context, mmr, overlap_score, rerank, service_rerank
 from .sparse import SparseIndex, bm25_topk
 
 
@@ -23,7 +28,7 @@ class RetrievalUnavailable(RuntimeError):
 
 @dataclass
 class Search:
-    """What a search runs with; a leg that is down, or no reranker, changes the plan and is told in `degraded`."""
+    """What a search runs with; a leg that is down or fails, or no reranker, changes the plan and is told in `degraded`."""
 
     filters: dict[str, Any] | None = None
     fusion: str = "rrf"
@@ -35,10 +40,9 @@ class Search:
     budget: int | None = None
     settings: Settings = field(default_factory=Settings)
     rewrite: Any = None  # a function of the question's column; none by default
-
-    @property
-    def degraded(self) -> list[str]:
-        return [name for name, up in (("dense_unavailable", self.dense), ("sparse_unavailable", self.sparse), ("rerank_unavailable", self.reranker)) if not up]
+    scorer: Callable[[Column, Column], Column] = overlap_score  # of question and text
+    service: Callable[[str, list[str]], list[dict]] | None = None  # scores a question's texts in place of scorer, and may fail
+    breakers: dict[str, CircuitBreaker] = field(default_factory=dict)  # by leg: run it at once, and go on without it if it fails
 
 
 def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search, index: SparseIndex | None = None) -> dict[str, DataFrame]:
@@ -56,6 +60,19 @@ def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search, ind
     return found
 
 
+def standing(found: dict[str, DataFrame], s: Search) -> dict[str, DataFrame]:
+    """The legs that work: those with a breaker are run and written, and left out if they fail or the breaker is open."""
+    up = {}
+    for name, leg in found.items():
+        try:
+            up[name] = s.breakers[name].call(written, leg, f"leg-{name}") if name in s.breakers else leg
+        except (CircuitOpen, PySparkException, Py4JJavaError):
+            continue
+    if not up:
+        raise RetrievalUnavailable("neither dense nor sparse search is available")
+    return up
+
+
 def fused(found: dict[str, DataFrame], s: Search) -> DataFrame:
     if s.fusion == "rrf":
         return rrf(found, s.settings.rrf_k).drop("source_ranks")
@@ -82,17 +99,26 @@ def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, s: Search |
     doc_id and embedding; queries has query_id, text and embedding.
     """
     s = s or Search()
-    chosen = diverse(fused(legs(docs, vectors, queries, s, index), s), vectors, s)
+    found = standing(legs(docs, vectors, queries, s, index), s)
+    down = [name for name in ("dense_unavailable", "sparse_unavailable") if name.split("_")[0] not in found]
+    chosen = diverse(fused(found, s), vectors, s)
     full = hydrate(chosen, docs, ["text", "source", "lang"]).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
-    if s.reranker:
-        top = rerank(full, overlap_score(F.col("question"), F.col("text")), "mmr_rank", s.top_k, s.settings.rerank_pool)
-        top = top.withColumn("score", F.col("rerank_score")).withColumn("place", F.col("rerank_rank"))
+    if not s.reranker:
+        top = full.where(F.col("mmr_rank") <= max(s.top_k, 1)).withColumns({"rerank_score": F.lit(None).cast("double"), "place": F.col("mmr_rank")})
+    elif s.service:
+        top = written(service_rerank(full, s.service, "mmr_rank", s.top_k, s.settings.rerank_pool).withColumnRenamed("rerank_rank", "place"), "reranked")  # asked once
     else:
-        top = full.where(F.col("mmr_rank") <= max(s.top_k, 1)).withColumn("score", F.col("fused_score")).withColumn("place", F.col("mmr_rank"))
+        top = rerank(full, s.scorer(F.col("question"), F.col("text")), "mmr_rank", s.top_k, s.settings.rerank_pool).withColumnRenamed("rerank_rank", "place")
+    lost = F.when(F.col("rerank_score").isNull(), F.lit("rerank_unavailable"))
+    flags = top.groupBy("query_id").agg(F.concat_ws(",", *map(F.lit, down), F.max(lost)).alias("degraded"))
+    top = top.withColumn("score", F.coalesce("rerank_score", "fused_score"))
     top = top.withColumn("n_tokens", T.token_estimate(F.lit(None).cast("int"), F.col("text")))
     top = top.withColumn("label", T.citation_label(F.col("source"), F.col("lang"), F.lit(None).cast("string")))
     top = top.join(vectors.select("doc_id", "embedding"), "doc_id", "left")
-    return build_context(top, "place", s.budget, s.settings).withColumn("degraded", F.lit(",".join(s.degraded)))
+    context = build_context(top, "place", s.budget, s.settings)
+    if s.service is None:  # what is missing is the same for all questions
+        return context.withColumn("degraded", F.lit(",".join(down + ["rerank_unavailable"] * (not s.reranker))))
+    return context.join(flags, "query_id")
 
 
 def context_text(citations: DataFrame, docs: DataFrame) -> DataFrame:

@@ -125,6 +125,21 @@ def filter_selectivity(spark, sf_dir):
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"s_{n}").alias("match_share"), F.col(f"n_{n}").alias("n_match")) for n in _LEVELS])))
 
 
+@query()
+def filtered_recall(spark, sf_dir):
+    """Recall and number of results of inverted lists under ever narrower filters, against exact search under the same filter."""
+    vectors, asked = R.vectors(spark, sf_dir), R.questions(spark, sf_dir).where("embedding is not null")
+    centres = D.centroids(vectors, 16)
+    index = written(D.with_cells(vectors, centres), "cells")
+    rows = []
+    for name, condition in _LEVELS.items():
+        own = vectors.where(condition)
+        found = written(D.ivf_topk(index.join(own.select("doc_id"), "doc_id", "left_semi"), centres, asked, 10, 8), "filtered")
+        recall = E.ann_recall(found, D.dense_topk(own, asked, 10)).agg(F.round(F.avg("recall_10"), 4).alias("recall_10"))
+        rows.append(recall.join(found.agg(F.count("*").alias("n_returned")), how="cross").withColumn("level", F.lit(name)))  # one row each
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("select doc_id, 'missing' as kind from documents where doc_id not in (select vec_id from embeddings) union all select vec_id, 'stray' from embeddings where vec_id not in (select doc_id from documents)")
 def index_drift(spark, sf_dir):
     return E.drift(table(spark, sf_dir, "documents"), R.vectors(spark, sf_dir), "doc_id")

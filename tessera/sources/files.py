@@ -91,3 +91,14 @@ def read_vector_arrays(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"chunk_id": names, "dense": list(rows.astype("float32"))})
 
     return pairs.mapInPandas(load, "chunk_id string, dense array<float>")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """query_id (the line's number in order of id) and text of a file of questions, as JSON lines with id and query."""
+    rows = spark.read.schema("id string, query string").json(path).where("query is not null")
+    return numbered(rows, ["id", "query"], "query_id").select("query_id", F.col("query").alias("text"))
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """query, phrases that a relevant text holds, and a section (may be null) of labelled questions, as JSON lines."""
+    return spark.read.schema("query string, anchors array<string>, section string").json(path).where("query is not null")

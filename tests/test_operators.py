@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evaluation, fusion, generation, maintenance, monitoring, postings, selection, sparse
+from tessera.operators import backfill, chunking, evaluation, fusion, generation, maintenance, monitoring, postings, selection, sparse
 from tessera.operators import dense as D
 from tessera.operators.breaker import CircuitBreaker, CircuitOpen
 from tessera.operators.filters import InvalidFilter, build_filter, validate_request
 from tessera.operators.html import item_sections, page_text
-from tessera.operators.search import RetrievalUnavailable, Search, context_text, prompt, search
+from tessera.operators.search import RetrievalUnavailable, Search, context_text, legs, prompt, search, standing
 from tessera.settings import ITEMS, STOPWORDS, Settings
 from tessera.sources import files
 from tessera.streaming import outbox
@@ -261,6 +261,48 @@ def test_search_and_degradation(spark):
     assert prompt("q", "") is None and "Question: q" in prompt("q", text)
 
 
+def test_search_goes_on_without_what_fails(spark):
+    docs, vectors, asked = corpus(spark)
+    broken = vectors.withColumn("embedding", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("index is down"))).otherwise(F.col("embedding")).cast("array<double>"))
+    guard = lambda: {"dense": CircuitBreaker(1), "sparse": CircuitBreaker(1)}
+    whole = search(docs, vectors, asked, Search(breakers=guard())).collect()
+    assert {r.degraded for r in whole} == {""} and sorted(whole) == sorted(search(docs, vectors, asked).collect())
+    s = Search(breakers=guard(), diverse=False)
+    found = standing(legs(docs, broken, asked, s), s)
+    assert list(found) == ["sparse"]
+    with pytest.raises(CircuitOpen):
+        s.breakers["dense"].call(int)
+    with pytest.raises(RetrievalUnavailable):
+        standing({"dense": broken}, Search(breakers=guard()))
+    reverse = lambda question, texts: [{"index": k, "score": float(k)} for k in reversed(range(len(texts)))]
+    top = search(docs, vectors, asked, Search(service=reverse, top_k=3)).collect()
+    assert len(top) == 3 and {r.degraded for r in top} == {""} and max(top, key=lambda r: r.score).citation_id == 1
+    lost = search(docs, vectors, asked, Search(service=lambda question, texts: 1 / 0, top_k=3)).collect()
+    plain = search(docs, vectors, asked, Search(reranker=False, top_k=3)).collect()
+    assert {r.degraded for r in lost} == {"rerank_unavailable"} and sorted(lost) == sorted(plain)
+    by_length = search(docs, vectors, asked, Search(scorer=lambda q, t: F.char_length(t).cast("double"), top_k=1)).collect()
+    assert len(by_length) == 1 and by_length[0].score >= 20
+    assert selection.by_index([{"index": 2, "score": 5}, {"index": 0, "score": 1.5}], 4) == [1.5, 0.0, 5.0, 0.0]
+
+
+def test_stages_and_migrations(spark, tmp_path):
+    seen, root = [], str(tmp_path / "job")
+    waits = iter([False, True, True])
+    stages = [backfill.Stage("one", lambda: seen.append("one")), backfill.Stage("two", lambda: seen.append("two") if len(seen) > 1 else seen.append("x") or 1 / 0, lambda: next(waits))]
+    with pytest.raises(ZeroDivisionError):
+        backfill.run_stages(spark, root, stages, poll=0.01)
+    assert backfill.run_stages(spark, root, stages, poll=0.01) == ["two"] and seen == ["one", "x", "two"]
+    assert backfill.run_stages(spark, root, stages) == []
+    with pytest.raises(TimeoutError):
+        backfill.run_stages(spark, root, [backfill.Stage("never", int, lambda: False)], poll=0.01, patience=0.02)
+    root = str(tmp_path / "tables")
+    assert len(backfill.migrate(spark, root)) == 3 and backfill.migrate(spark, root) == []
+    assert backfill.current(spark, root, "jobs").columns[:2] == ["id", "document_id"]
+    more = [*backfill.MIGRATIONS, ("0004_priority", {"jobs": files.JOB + ", priority int"})]
+    assert backfill.migrate(spark, root, more) == ["0004_priority"]
+    assert "priority" in backfill.current(spark, root, "jobs", more).columns and backfill.current(spark, root, "none") is None
+
+
 def test_reconcile_is_idempotent(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "chunk_id string, content_sha256 string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "chunk_id string, content_sha256 string")
@@ -322,6 +364,10 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 15
     lines = spark.createDataFrame([("c1", [0.5, 0.25], "m")], files.VECTOR_LINE)
     lines.write.json(str(tmp_path / "lines"))
+    (tmp_path / "q.jsonl").write_text('{"id": "b", "query": "two"}\n{"id": "a", "query": "one"}\n{"id": "c"}\n')
+    assert [tuple(r) for r in files.read_questions(spark, str(tmp_path / "q.jsonl")).orderBy("query_id").collect()] == [(0, "one"), (1, "two")]
+    (tmp_path / "g.jsonl").write_text('{"query": "one", "anchors": ["x"], "section": "1A"}\n{"query": "two", "anchors": []}\n')
+    assert [r.section for r in files.read_golden(spark, str(tmp_path / "g.jsonl")).orderBy("query").collect()] == ["1A", None]
     assert files.read_vector_lines(spark, str(tmp_path / "lines")).collect() == lines.collect()
 
 
@@ -441,6 +487,16 @@ def test_answers(spark, tmp_path):
     assert {r.answer for r in generation.answers(rows).collect()} == {None}
     got = {r.query_id: r.answer for r in generation.answers(rows, lambda p: p[-2:]).collect()}
     assert got == {1: "q1", 2: None, 3: None}
+    calls = spark.sparkContext.accumulator(0)
+
+    def weak(prompt):
+        calls.add(1)
+        raise OSError
+
+    many = spark.createDataFrame([(k, "q", "text") for k in range(20)], "query_id long, question string, context_text string").coalesce(1)
+    assert {r.answer for r in generation.answers(many, weak, attempts=2, wait=0.0, threshold=3).collect()} == {None} and calls.value == 6
+    assert generation.answers(many.limit(1), lambda p: iter(["a", "b"])).first().answer == "ab"
     for run in ("r1", "r2"):
         generation.append_results(rows.select("query_id"), str(tmp_path / "runs"), run, "dense")
     assert spark.read.parquet(str(tmp_path / "runs")).where("run_id = 'r1'").count() == 3
+    assert generation.read_results(spark, str(tmp_path / "runs"), "r2").count() == 3 and generation.read_results(spark, str(tmp_path / "runs")).count() == 6
