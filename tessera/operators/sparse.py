@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
 from ..storage import new_path
-from .postings import corpus_totals, lengths
 
-#: Folders of postings; a search reads those of its terms.
+#: Folders of postings; a search reads those of its terms.  A large corpus wants more.
 BUCKETS = 16
+#: Files of a folder, about: a frequent term is spread over them.
+SPREAD = 4
 #: Query terms that are broadcast; a larger query set is joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -35,37 +36,51 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
 class SparseIndex:
-    """postings (term, doc_id, tf, doc_len, bucket), terms (term, df) and totals (one row: n_docs, total_len, avgdl)."""
+    """postings (term, doc_id, tf, doc_len, bucket), terms (term, df), totals (one row: n_docs, total_len, avgdl) and the number of buckets."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    buckets: int
 
 
-_POSTINGS = "term string, doc_id long, tf long, doc_len int, bucket int"
+_POSTINGS = "term string, doc_id long, tf int, doc_len int, bucket int"
 
 
-def write_index(docs: DataFrame, path: str | None = None) -> SparseIndex:
-    """Encode doc_id and text once, for any number of searches, in folders below `path`.
+def posted(words: Column) -> Column:
+    """An array of term, tf and doc_len of one document's words, of which there is one at least: counted in the row itself, without a shuffle."""
 
-    Postings are sorted by term and cut into files by ranges of term and doc_id, so a
-    frequent term has as many files as it needs.
+    def runs(ws: Column) -> Column:  # of sorted words
+        starts = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+        run = lambda at: F.transform(at, lambda i, k: F.struct(F.get(ws, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ws)) - i).alias("tf"), F.size(ws).alias("doc_len")))
+        return F.transform(F.array(starts), run)[0]
+
+    return F.transform(F.array(F.sort_array(words)), runs)[0]  # outer functions compute their argument once
+
+
+def write_index(docs: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> SparseIndex:
+    """Encode doc_id (one row each) and text once, for any number of searches, in folders below `path`.
+
+    One shuffle brings postings to the folders of their terms' hashes, where they are sorted by term.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "sparse-index")
-    analyzed = docs.select(F.col("doc_id").cast("long"), T.terms(F.coalesce("text", F.lit(""))).alias("words"))
-    rows = analyzed.select("doc_id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-    postings = rows.groupBy("doc_id", "term", "doc_len").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-    postings = postings.select("term", "doc_id", "tf", "doc_len", "bucket").repartitionByRange("bucket", "term", "doc_id")
+    analyzed = docs.select(F.col("doc_id").cast("long"), T.terms(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
+    postings = analyzed.select("doc_id", F.inline(posted(F.col("words")))).withColumn("bucket", bucket(F.col("term"), buckets))
+    postings = postings.select("term", "doc_id", "tf", "doc_len", "bucket").repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
     postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.read.schema(_POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    corpus_totals(lengths(docs)).write.parquet(f"{path}/totals")
+    rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    rows.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    n = docs.count()
+    totals = rows.agg(F.lit(n).cast("long").alias("n_docs"), F.coalesce(F.sum(F.col("tf").cast("long")), F.lit(0)).alias("total_len"))
+    mean = F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(F.lit(0.0))
+    totals.withColumns({"avgdl": mean, "buckets": F.lit(buckets)}).coalesce(1).write.parquet(f"{path}/totals")
     return read_index(spark, path)
 
 
@@ -73,7 +88,8 @@ def read_index(spark: SparkSession, path: str) -> SparseIndex:
     """The index below `path`."""
     postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
     terms = spark.read.schema("term string, df long").parquet(f"{path}/terms")
-    return SparseIndex(postings, terms, spark.read.schema("n_docs long, total_len long, avgdl double").parquet(f"{path}/totals"))
+    totals = spark.read.schema("n_docs long, total_len long, avgdl double, buckets int").parquet(f"{path}/totals")
+    return SparseIndex(postings, terms, totals.drop("buckets"), totals.first()["buckets"])
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k_sparse, keep: Column | None = None, s: Settings = DEFAULTS, index: SparseIndex | None = None) -> DataFrame:
@@ -85,7 +101,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k_spars
     """
     index = index or write_index(docs)
     asked = query_terms(queries)
-    wanted = asked.select(bucket(F.col("term")).alias("b")).distinct().collect()  # at most BUCKETS
+    wanted = asked.select(bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()  # no more than there are
     weights = asked.join(index.terms, "term").join(F.broadcast(index.totals), how="cross")  # totals: one row
     weights = weights.select("query_id", "term", "avgdl", idf(F.col("df"), F.col("n_docs")).alias("idf")).where("idf > 0")
     if asked.count() <= BROADCAST_TERMS:
