@@ -5,12 +5,15 @@ from __future__ import annotations
 import mmap
 import os
 from collections.abc import Iterable
+from zlib import crc32
 
 import numpy as np
 
 
 #: Spreads arcs over the slots of their table.
 SPREAD = 40503
+#: Bits for each word in the sieve, at least: a word that isn't in the lexicon passes it with a chance of about 1/SIEVE.
+SIEVE = 32
 
 
 def compile_words(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -72,8 +75,13 @@ def compile_words(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
             out += words_below[child]
     starts = np.cumsum([0, *(len(ids) for _, ids in entries)], dtype=np.uint32)
     ids = np.array([i for _, ids in entries for i in ids], np.uint32)
-    head = np.array([slots, len(entries), len(ids), len(order)], np.uint32)
-    return b"".join(x.tobytes() for x in (head, table, starts, ids))
+    bits = 1 << (SIEVE * len(entries) + 32).bit_length()
+    sieve = np.zeros(bits // 8, np.uint8)
+    for word, _ in entries:
+        place = crc32(word) & bits - 1
+        sieve[place >> 3] |= 1 << (place & 7)
+    head = np.array([slots, len(entries), len(ids), len(order), bits], np.uint32)
+    return b"".join(x.tobytes() for x in (head, table, starts, ids, sieve))
 
 
 class Lexicon:
@@ -86,13 +94,17 @@ class Lexicon:
             view = memoryview(mmap.mmap(fd, len(compiled), access=mmap.ACCESS_READ)).cast("I")
         finally:
             os.close(fd)
-        self.slots, self.words, n_ids, self.states = view[:4]
-        self.keys, self.next, self.final, self.out = (view[4 + k * self.slots :][: self.slots] for k in range(4))
-        self.starts = view[4 + 4 * self.slots :][: self.words + 1]
-        self.ids = view[4 + 4 * self.slots + self.words + 1 :][:n_ids]
+        self.slots, self.words, n_ids, self.states, bits = view[:5]
+        self.keys, self.next, self.final, self.out = (view[5 + k * self.slots :][: self.slots] for k in range(4))
+        self.starts = view[5 + 4 * self.slots :][: self.words + 1]
+        self.ids = view[5 + 4 * self.slots + self.words + 1 :][:n_ids]
+        self.sieve, self.last = view[5 + 4 * self.slots + self.words + 1 + n_ids :].cast("B"), bits - 1
 
     def find(self, word: bytes) -> list[int] | None:
-        """The ids of a word of the lexicon, else None."""
+        """The ids of a word of the lexicon, else None; most other words don't pass the sieve, and need no walk."""
+        place = crc32(word) & self.last
+        if not self.sieve[place >> 3] >> (place & 7) & 1:
+            return None
         keys, follow, last, at, path = self.keys, self.next, self.slots - 1, 1, []
         for label in word:
             key = at + label
