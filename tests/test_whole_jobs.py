@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pytest
-
-import corpus_pipeline
-from tessera.llm import ann, license_scan
 from tessera.plans import QUERIES
 
-from .llm.test_operators import prose
-
 
 def brute_windows(text, budget=120, overlap=15):
     """Sizes of windows, by going through numbered tokens; every token must reach a window."""
@@ -46,89 +37,3 @@ def test_pack_windows_keeps_long_lines(spark, tmp_path):
     for k, text in rows:
         sizes = brute_windows(text)
         assert (got[k].n_windows, got[k].sizes) == (len(sizes), ",".join(map(str, sizes)))
-
-
-@pytest.mark.parametrize(("copies", "noise"), [(3000, 0.01), (500, 0.01), (3000, 0.2), (500, 0.2)])
-def test_ann_tells_near_copies_apart(copies, noise):
-    """Near copies share their codes; the nearest are found all the same."""
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(6000, 64))
-    x[:copies] = x[0] + noise * rng.normal(size=(copies, 64))
-    book = ann.fit(x[::5])
-    codes = ann.packed(ann.assign(book, ann.paired(x)))
-    asked = np.concatenate([np.arange(0, copies, copies // 20), np.arange(copies, 6000, 500)])
-    q, v, score = ann.search_tile(book, np.arange(6000), x, codes, asked, x[asked], 5, ann.RERANK)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for i in asked:
-        exact = unit @ unit[i]
-        exact[i] = -9
-        got = v[q == i][np.lexsort((v[q == i], -score[q == i]))]
-        assert got.tolist() == np.lexsort((np.arange(6000), -exact))[:5].tolist()
-
-
-def licences(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.licenses for r in license_scan.license_scan(docs).orderBy("doc_id").collect()]
-
-
-def test_license_scan_finds_spdx_marks(spark):
-    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0", "/* spdx-license-identifier:  GPL-3.0-only */\nint y;", "SPDX-License-Identifier:BSD-3-Clause", "x\n# SPDX-License-Identifier: MIT\n# Copyright 2020 A\nimport b"]
-    assert licences(spark, texts) == ["MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT"]
-
-
-MIT = """MIT License
-
-Copyright (c) 2020 A Person
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
-
-BSD = """Copyright (c) 2020, A Person
-
-Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice,
-   this list of conditions and the following disclaimer in the documentation
-   and/or other materials provided with the distribution.
-
-3. Neither the name of the copyright holder nor the names of its
-   contributors may be used to endorse or promote products derived from
-   this software without specific prior written permission."""
-
-GPL = """This program is free software: you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
-the Free Software Foundation, either version 3 of the License, or
-(at your option) any later version."""
-
-
-def test_license_scan_finds_published_texts(spark):
-    commented = lambda t, mark: "\n".join(f"{mark} {line}".rstrip() for line in t.split("\n"))
-    gpl2 = GPL.replace("Foundation, either version 3", "Foundation; either version 2")
-    texts = [MIT, BSD, GPL, gpl2, GPL.replace("\n", " "), GPL.replace("GNU General", "GNU Lesser General"), "Under the GNU General Public License version 3 or, at your option, any later version."]
-    want = ["MIT", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-3.0-or-later", "GPL-3.0-or-later"]
-    texts += [commented(t, mark) for t in (MIT, BSD, GPL) for mark in ("//", " *", "#", "--")] + [t.replace("\n", "\r\n") for t in (MIT, BSD, GPL)]
-    want += [w for w in want[:3] for _ in range(4)] + want[:3]
-    assert licences(spark, texts) == want
-
-
-def test_language_stage_rejects_unknown_languages(spark):
-    rng = random.Random(12)
-    rows = [(k, prose(rng, ("abcde", "vwxyz")[k % 2], rng.randrange(3, 40)), ("aa", "zz")[k % 2]) for k in range(300)]
-    foreign = [prose(rng, "mnopq"), prose(rng, "бвгде"), "すべての人間は生まれながらにして自由であり", "xkq zrtpl mwvbn qqzx hjklp wrtzx cvbnm ghtrw plkjh", prose(rng, "ghijkl", 5)]
-    planted = [(1000 + k, t, ("aa", None)[k % 2]) for k, t in enumerate(foreign)]
-    docs = spark.createDataFrame(rows + planted, "doc_id long, text string, lang string")
-    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {k for k, *_ in rows}
