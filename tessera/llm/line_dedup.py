@@ -7,8 +7,9 @@ lines are covered, and the lines that any such window covers are removed.  Windo
 found in the texts as they are given, so removal doesn't depend on an order of work.
 
 Plan: windows are counted with partial sums before the shuffle; only windows that occur
-more than once meet their places again, the few very frequent ones by broadcast.  A
-text is shuffled once, to meet its covered positions.
+more than once meet their places again, the few very frequent ones by broadcast.  Of the
+texts, those that a filter of bounded size finds among the ones with covered lines are
+shuffled, to meet their positions; all others stay where they are.
 
 Cases: a null text stays null; texts of fewer than three lines (empty ones too) have no
 window and stay as they are; rows equal in doc_id and text count as one document; an
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_safe_join, written
+from .shared import discard, screened, skew_safe_join, written
 
 #: Lines in a window.
 WINDOW = 3
@@ -46,7 +47,9 @@ def covered(docs: DataFrame) -> DataFrame:
     later = again.where(~first).select("_d", "_t", "_at")
     starts = later.groupBy("_d", "_t").agg(F.collect_set("_at").alias("_starts"))
     lines = F.transform("_starts", lambda s: F.sequence(s, s + WINDOW - 1))
-    return starts.select("_d", "_t", F.array_sort(F.array_distinct(F.flatten(lines))).alias("_gone"))
+    gone = written(starts.select("_d", "_t", F.array_sort(F.array_distinct(F.flatten(lines))).alias("_gone")), "covered")
+    discard(found)
+    return gone
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -55,7 +58,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = kept[docs.columns.index("text")]
     rows = docs.toDF(*kept).withColumns({"_d": F.col(kept[docs.columns.index("doc_id")]), "_t": F.xxhash64(text)})
     gone = covered(docs.select("doc_id", "text").where(F.col("text").isNotNull())).withColumnsRenamed({"_d": "_d2", "_t": "_t2"})
-    both = rows.join(gone, rows["_d"].eqNullSafe(gone["_d2"]) & (rows["_t"] == gone["_t2"]), "left")
+    rows = screened(rows, gone.select(F.col("_d2").alias("_d"), F.col("_t2").alias("_t")), ["_d", "_t"])
+    met = rows.where("_maybe").join(gone, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2")), "left")
+    both = met.select(*kept, "_gone").unionByName(rows.where("not _maybe").select(*kept, F.lit(None).cast("array<int>").alias("_gone")))
     lines = F.split(text, "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))  # by hashing: linear in a text's lines
     picked = F.transform(F.array(lines), lambda ls: F.transform(places, lambda k: F.get(ls, k)))  # the outer function cuts the text once

@@ -84,15 +84,21 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
 FILTER_WORDS = 1 << 18
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """rows without most of those that have no partner in `wanted` by `columns`, before a join shuffles them.
+def screened(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with _maybe, which is true wherever `wanted` has a partner by `columns`, and false for most others.
 
     The filter is a table of at most FILTER_WORDS numbers of 64 bits, so it can be
-    broadcast whatever the size of `wanted`; the more rows that has, the fewer go.
+    broadcast whatever the size of `wanted`; the more rows that has, the more are true.
     """
     place = F.xxhash64(*columns)
     word, bit = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), place.bitwiseAND(F.lit(63)).cast("int")
     one = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
     bits = one.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
-    return found.where(F.call_function("getbit", F.col("_bits"), bit) == 1).drop("_word", "_bits")
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    hit = F.call_function("getbit", F.coalesce("_bits", F.lit(0).cast("long")), bit) == 1
+    return found.withColumn("_maybe", hit).drop("_word", "_bits")
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """rows without most of those that have no partner in `wanted` by `columns`, before a join shuffles them."""
+    return screened(rows, wanted, columns).where("_maybe").drop("_maybe")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import pytest
 
-from tessera.llm import ann, license_scan
+from tessera.llm import ann, license_scan, line_dedup
 
 from .test_operators import prose
 
@@ -97,3 +99,31 @@ def test_language_stage_rejects_unknown_languages(spark):
     planted = [(1000 + k, t, ("aa", None)[k % 2]) for k, t in enumerate(foreign)]
     docs = spark.createDataFrame(rows + planted, "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {k for k, *_ in rows}
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Null and shared identifiers, repeated rows, short, empty and null texts, one passage in a third of all rows."""
+    draw = random.Random(5)
+    common = "\n".join(["all", "of", "us", "", "again"])
+    rows = [(None, "a\nb\nc"), (7, "a\nb\nc"), (7, "a\nb\nc"), (8, None), (8, None), (9, ""), (9, "x\ny"), (10, "x\nx\nx\nx\nx"), (11, "\n\n\n\n")]
+    for k in range(20, 320):
+        lines = [draw.choice("pqrstuvw") * draw.randint(1, 3) for _ in range(draw.randint(0, 12))]
+        rows.append((k, "\n".join(lines + ([common] if k % 3 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    first, distinct = {}, {r for r in rows if r[1] is not None}
+    windows = lambda text: [tuple(text.split("\n")[k : k + 3]) for k in range(text.count("\n") - 1)]
+    place = lambda d, k: (d is not None, d or 0, k)
+    for d, text in distinct:
+        for k, w in enumerate(windows(text)):
+            first[w] = min(first.get(w, place(d, k)), place(d, k))
+
+    def expected(d, text):
+        if text is None:
+            return (d, 0, 0, "", None)
+        gone = sorted({k + j for k, w in enumerate(windows(text)) if first[w] != place(d, k) for j in range(3)})
+        left = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+        return (d, text.count("\n") + 1, len(gone), ",".join(map(str, gone)), hashlib.md5(left.encode()).hexdigest())
+
+    got = Counter(tuple(r) for r in line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", "text_md5").collect())
+    assert got == Counter(expected(*r) for r in rows) and sum(1 for r in got if r[2]) > 100
