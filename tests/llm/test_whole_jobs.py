@@ -10,7 +10,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tessera.llm import ann, license_scan, line_dedup
+from tessera.llm import ann, license_scan, line_dedup, near_copies, shared
 
 from .test_operators import prose
 
@@ -127,3 +127,35 @@ def test_line_dedup_against_brute_force(spark):
 
     got = Counter(tuple(r) for r in line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", "text_md5").collect())
     assert got == Counter(expected(*r) for r in rows) and sum(1 for r in got if r[2]) > 100
+
+
+def test_near_copies_that_bands_and_fingerprints_miss(spark):
+    """Texts of similarity 0.8 whose fingerprints differ in over 24 bits, or that agree in no band."""
+    rows = [(2 * k + j, " ".join(f"{c}{k}" for c in "abcdefghi"[: 8 + j])) for k in (1707, 2094, 3676, 10261, 14419, 18114) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == {i for i, _ in rows if i % 2 == 0}
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_near_copies_over_blocks(spark, block, monkeypatch):
+    """Groups of many blocks and no pivots: links between blocks are found all the same, and texts that have a prefix in common but don't link stay apart."""
+    monkeypatch.setattr(near_copies, "PIVOTS", 0)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:k], f"own{k}", *words[k + 1 :]])) for k in range(60)]  # neighbours link (0.8 or more), most others do not (0.7): one chain
+    rows += [(100 + k, " ".join([*words[:30], *[f"x{k}.{j}" for j in range(8)]])) for k in range(12)]  # 26 of 42 shingles in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    full = shared.located(docs, "text", "doc_id")
+    got = full.join(near_copies.near_copy_classes(full.select("_file", "_row", "_c0"), block=block), ["_file", "_row"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.label, set()).add(r._c1)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label = {i: min(label[a], label[b]) if x in (label[a], label[b]) else x for i, x in label.items()}
+    want = {}
+    for i, x in label.items():
+        want.setdefault(x, set()).add(i)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()} and len(want) < len(rows)
