@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import lean, new_path, written
 
 SAMPLE = 10_000
 CENTRES = 16
@@ -265,7 +265,7 @@ def nearest(vectors: DataFrame, query, k: int = NEAREST, rerank: int = RERANK, b
             codes = packed(assign(shared.value, paired(scaled(matrix(batch.column(1), dim))))) if len(batch) else np.zeros((0, 1), np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "code"])
 
-    index = written(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "ann-index")
+    index = written(rows.mapInArrow(lean(encode), "vec_id long, embedding array<double>, code binary"), "ann-index")
     # a query whose row comes with several vectors asks with the smallest
     queries = written(index.where(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
     schema, names = "query_id long, vec_id long, score double", ["query_id", "vec_id", "score"]
@@ -283,7 +283,7 @@ def nearest(vectors: DataFrame, query, k: int = NEAREST, rerank: int = RERANK, b
                 best = k_best(*(np.concatenate(x) for x in zip(best, found, strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names)
 
-        return index.mapInArrow(search, schema), asked
+        return index.mapInArrow(lean(search), schema), asked
 
     parts = max(1, -(-queries.count() // query_rows))
     if parts == 1:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Memo, Merges, vocabulary_path
 from .lexicon import Lexicon, compile_words
-from .shared import arrow_rows, discard, written
+from .shared import arrow_rows, discard, lean, memos, spare, written
 
 VOCABULARY = "word_bpe_49k.json"
 WORDS = 32_768
@@ -106,15 +106,13 @@ class Codec:
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, compiled: bytes | None) -> Codec:
     key = path, hashlib.md5(compiled or b"").hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(path, compiled)
-    return _codecs[key]
+    codecs = memos("codec")
+    if key not in codecs:
+        spare()
+        codecs[key] = Codec(path, compiled)
+    return codecs[key]
 
 
 def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -145,7 +143,7 @@ def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield handed_on()
         yield handed_on()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run, "codec"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) -> bytes:
@@ -191,4 +189,4 @@ def bpe_codes(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS,
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run, "codec"), schema)

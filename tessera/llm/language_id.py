@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import char_grams, code_points, groups
-from .shared import arrow_rows, held_out
+from .shared import arrow_rows, held_out, lean
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, train, bits: int = BITS, per_language: int = PER_LANG
                 cells, n = np.unique(np.concatenate([(language | at)[at < 1 << bits] for at in found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
 
-    cells = sample.select("lang", "text").repartition(8).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = sample.select("lang", "text").repartition(8).mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     at = cells.column("cell").to_numpy()
     counts = np.zeros((len(names), (1 << bits) + 1), np.float32)
     counts[at >> 32, at & 0xFFFFFFFF] = cells.column("n").to_numpy()
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: LanguageModel, moments: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score), pa.array(mean), pa.array(variance)], [*names, "_lang", "_score", "_mean", "_variance"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return docs.toDF(*names).mapInArrow(run, f"{schema}, _lang string, _score double, _mean double, _variance double")
+    return docs.toDF(*names).mapInArrow(lean(run), f"{schema}, _lang string, _score double, _mean double, _variance double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import char_grams, code_points, groups, mixed
-from .shared import arrow_rows, held_out
+from .shared import arrow_rows, held_out, lean
 
 BITS = 16
 #: Bound of the sample that fits the model.
@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, bits: int = BITS, sample: i
                 found = [packed(mark) for mark in indicators(texts[a:b], bits)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(found, pa.binary())], ["doc_id", "quality", "at"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, at binary").collect(), key=lambda r: (r.doc_id, r.quality, r["at"]))
+    got = sorted(rows.mapInArrow(lean(run), "doc_id long, quality int, at binary").collect(), key=lambda r: (r.doc_id, r.quality, r["at"]))
     return fit([bytes(r["at"]) for r in got], np.array([int(r.quality > 0) for r in got], int), bits)
 
 
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: QualityModel, bits: int = BITS) -> DataFrame
                     score[k] = 1 / (1 + np.exp(-np.clip(own.slope * margin + own.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

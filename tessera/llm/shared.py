@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +28,41 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_memos: dict[str, dict] = {}
+
+
+def memos(operator: str) -> dict:
+    """What an operator remembers between the tasks of a Python worker."""
+    return _memos.setdefault(operator, {})
+
+
+def spare(operator: str = "") -> None:
+    """Forgets what other operators remember in this process, and gives free memory back to the system."""
+    others = [m for name, m in _memos.items() if name != operator and m]
+    for m in others:
+        m.clear()
+    if others:
+        gc.collect()  # memos refer to their owners
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable, operator: str = "") -> Callable:
+    """A function over Arrow batches that begins and ends with spare().
+
+    Spark hands a Python worker on to tasks of any later stage, so without this an executor
+    holds the memos of the operators before beside what a task needs.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare(operator)
+        yield from run(batches)
+        spare(operator)
+
+    return task
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the identifier as text, modulo 5; a null identifier counts as the empty text, which gives 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

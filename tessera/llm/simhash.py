@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .gray_index import DISTANCE, Index, majority
 from .near_copies import one_of_each  # noqa: F401
-from .shared import arrow_rows, skew_safe_join, written
+from .shared import arrow_rows, lean, skew_safe_join, written
 
 SHINGLE = 3
 #: A larger group is divided by further bits, as work within a group is near its square.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def stars(group: np.ndarray, fp: np.ndarray, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def links(nodes: DataFrame, total: int, limit: int = DISTANCE, group_rows: int =
             u, v = stars(np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got]).view(np.uint64), limit)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return done[0].select("key", "fp").repartition(tasks, "key").mapInArrow(run, "u long, v long")
+    return done[0].select("key", "fp").repartition(tasks, "key").mapInArrow(lean(run), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, limit: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Memo, Merges, vocabulary_path
-from .shared import arrow_rows
+from .shared import arrow_rows, lean, memos
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -171,13 +171,11 @@ class PrefixCounter:
         return at
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    counters = memos("counter")
+    if path not in counters:
+        counters[path] = PrefixCounter(path)
+    return counters[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
@@ -195,7 +193,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(lean(run, "counter"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def truncated_texts(docs: DataFrame, budget: int, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -210,4 +208,4 @@ def truncated_texts(docs: DataFrame, budget: int, vocabulary: str = VOCABULARY)
             kept = [t.encode("utf-8")[: cut(t, budget)].decode("utf-8") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, text string")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lean(run, "counter"), "doc_id long, text string")
